@@ -10,7 +10,7 @@ from .shared import cut
 
 def _least(pairs: DataFrame) -> DataFrame:
     """For each u the smallest of u and its neighbours."""
-    return cut(pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+    return pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -27,9 +27,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             return now.select("u", F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("u"), F.col("v").alias("component")).distinct())
         before = mark
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.where("v > u").join(_least(both).hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = both.where("v > u").join(cut(_least(both)).hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = cut(large.where("u <> v").distinct())
-        least = _least(large)  # all edges point from larger to smaller here
+        least = _least(large)  # all edges point from larger to smaller here, so no u has many
         small = large.join(least.hint("merge"), "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         now = cut(small.where("u <> v").distinct())
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")

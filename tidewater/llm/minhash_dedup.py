@@ -1,17 +1,18 @@
 """Near-duplicates by b-bit MinHash over word shingles.
 
-1. One pass over the texts: set of shingles (64-bit hashes of its words), its digest, 256 minima. Forty bands of six
-   minima give bucket keys; of every minimum the two low bits are kept, packed into eight longs.
+1. One pass over the texts: set of shingles (64-bit hashes of its words), its digest, and forty bands of six minima,
+   which give bucket keys. For classes that share a bucket, a second pass keeps the set and, of 1024 minima, the two low
+   bits each, packed into 32 longs.
 2. Equal sets become one class (partial aggregation, so any number of copies is cheap).
-3. Classes that share a bucket are candidates. First each meets its bucket's smallest class; what these confirmed
-   links connect is one component. Then, in buckets that still hold several components, classes of different
-   components meet. Links inside a component add nothing to it and are never listed, so a bucket of n alike texts costs
-   n pairs, not n * n.
+3. Classes that share a bucket are candidates. First each meets its bucket's first class; classes linked with the same
+   one are known to be connected. Then, in buckets that still hold several such parts, classes of different parts meet.
+   Links inside a part add nothing and are never listed, so a bucket of n alike texts costs n pairs, not n * n.
 4. Bit counts of the packed signatures estimate each candidate's similarity, corrected for chance agreement of two
    bits (1/4); what lies more than six deviations under the threshold goes.
 5. The rest is confirmed exactly on full sets, and links become connected components.
 
-A pair at the threshold shares no bucket with probability (1 - 0.85 ** 6) ** 40, about 6e-9 (at 0.8: 5e-6).
+A pair at the threshold shares no bucket with probability (1 - 0.85 ** 6) ** 40, about 6e-9 (at 0.8: 5e-6). A pair that
+shares several buckets is listed in the first of them.
 
 Defined results: a null or blank text has an empty set and is linked with nothing. Texts with fewer words than a shingle
 have one element, the whole sequence. Null ids take part but name no component: component_id is the smallest id that
@@ -32,10 +33,9 @@ from pyspark.sql import functions as F
 from .components import components
 from .shared import cut, mix64, row_key, slices, text_bytes, text_or_empty
 
-MINIMA, ROWS, BANDS, LOW_BITS = 256, 6, 40, 2
+MINIMA, ROWS, BANDS, LOW_BITS = 1024, 6, 40, 2
 LONGS = MINIMA * LOW_BITS // 64
-_DRAW = mix64(np.arange(2 * MINIMA, dtype=np.uint64) + np.uint64(0xABCDEF))
-_A, _B = _DRAW[:MINIMA] | np.uint64(1), _DRAW[MINIMA:]
+_A = ((mix64(np.arange(MINIMA, dtype=np.uint64) + np.uint64(0xABCDEF)) >> np.uint64(32)) | np.uint64(1)).astype(np.uint32)
 _BYTE = mix64(np.arange(256, dtype=np.uint64) + np.uint64(0x5151))
 _PLACE = mix64(np.arange(64, dtype=np.uint64) + np.uint64(0x777)) | np.uint64(1)
 _IS_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
@@ -81,11 +81,14 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> list[np.n
     return out
 
 
-def minima(shingles: np.ndarray) -> np.ndarray:
-    low, x = np.full(MINIMA, np.iinfo(np.uint64).max, np.uint64), shingles >> np.uint64(32)
-    for lo in range(0, len(x), 512):
-        low = np.minimum(low, ((_A[:, None] * x[None, lo : lo + 512] + _B[:, None]) >> np.uint64(32)).min(axis=1))
-    return low
+def minima(shingles: np.ndarray, count: int = MINIMA) -> np.ndarray:
+    """Minima of the first `count` permutations (odd multipliers modulo 2 ** 32 over scrambled hashes), each scrambled again so that its low bits are even."""
+    low, x = np.full(count, 0xFFFFFFFF, np.uint32), (shingles >> np.uint64(32)).astype(np.uint32)[:, None]
+    space = np.empty((32, count), np.uint32)
+    for lo in range(0, len(x), 32):
+        some = np.multiply(x[lo : lo + 32], _A[:count], out=space[: len(x) - lo])
+        low = np.minimum(low, some.min(axis=0))
+    return mix64(low.astype(np.uint64))
 
 
 def packed(low: np.ndarray) -> list[int]:
@@ -95,39 +98,36 @@ def packed(low: np.ndarray) -> list[int]:
 
 
 def buckets(low: np.ndarray) -> list[int]:
-    rows = low[: BANDS * ROWS].reshape(BANDS, ROWS)
+    rows = low.reshape(BANDS, ROWS)
     return mix64((rows * _PLACE[None, :ROWS]).sum(axis=1, dtype=np.uint64) + _PLACE[16 : 16 + BANDS] * np.uint64(3)).view(np.int64).tolist()
 
 
 def _sketch(words: int):
-    names = ["key", "n", "set", "sig", "buckets"]
+    """(id, key, text) to id, key, the set's size and digest, and its bucket keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 sets = shingle_sets(*text_bytes(part.column(2)), words)
-                lows = [minima(s) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0),
-                        part.column(1),
-                        pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
-                        pa.array([None if low is None else packed(low) for low in lows], pa.list_(pa.int64())),
-                        pa.array([None if low is None else buckets(low) for low in lows], pa.list_(pa.int64())),
-                    ],
-                    ["id", *names],
-                )
+                columns = [
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
+                    pa.array([buckets(minima(s, BANDS * ROWS)) if len(s) else None for s in sets], pa.list_(pa.int64())),
+                ]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], ["id", "key", "n", "set", "buckets"])
 
     return run
 
 
 def _sets(words: int):
+    """(c, buckets, text) to c, buckets, the set itself and its packed signature."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
-                sets = shingle_sets(*text_bytes(part.column(1)), words)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["set", "shingles"])
+                sets = shingle_sets(*text_bytes(part.column(2)), words)
+                columns = [pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([packed(minima(s)) for s in sets], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], ["c", "buckets", "shingles", "sig"])
 
     return run
 
@@ -157,6 +157,16 @@ def similarity(a: str, b: str) -> Column:
     return ((MINIMA - apart) / MINIMA - chance) / (1 - chance)
 
 
+def first_shared(a: str, b: str) -> Column:
+    """Upper half of the first bucket key that two columns of marks share: in that bucket alone their pair is listed."""
+    found = []
+    for k in range(BANDS // 2):
+        x, y = F.col(f"{a}.m{k}"), F.col(f"{b}.m{k}")
+        odd = x.bitwiseXOR(y)
+        found += [F.when(F.shiftright(odd, 32) == 0, F.shiftright(x, 32)), F.when(F.shiftleft(odd, 32) == 0, F.shiftright(F.shiftleft(x, 32), 32))]
+    return F.coalesce(*found)
+
+
 def slack(percent: int) -> float:
     """Six standard deviations of the estimate at the threshold."""
     j, chance = percent / 100, 0.5**LOW_BITS
@@ -165,44 +175,46 @@ def slack(percent: int) -> float:
 
 
 def links(classes: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:
-    """Class pairs (u, v) that are confirmed and connect all there is to connect. classes: set, key, sig (struct), buckets; texts: key, text."""
-    # a 16-byte row for each bucket of each class; buckets of one class are dropped by a partial aggregation first
-    spread = cut(classes.select("set", F.explode("buckets").alias("bucket")))
-    meeting = cut(spread.groupBy("bucket").agg(F.min("set").alias("hub"), F.max("set").alias("last")).where("hub <> last").select("bucket", "hub"))
+    """Class pairs (u, v) that are confirmed and connect all there is to connect. classes: c (long), key, buckets; texts: key, text."""
+    spread = classes.select("c", F.explode("buckets").alias("bucket"))
+    # half of each bucket key, two to a long: enough to tell which bucket is the first that two classes share
+    marks = F.struct(*[F.shiftleft(F.shiftright(F.col("buckets")[2 * k], 32), 32).bitwiseOR(F.shiftrightunsigned(F.col("buckets")[2 * k + 1], 32)).alias(f"m{k}") for k in range(BANDS // 2)]).alias("marks")
+    meeting = cut(spread.groupBy("bucket").agg(F.min("c").alias("hub"), F.max("c").alias("last")).where("hub <> last").select("bucket", "hub"))
     members = cut(spread.join(meeting.hint("merge"), "bucket"))
-    signed = cut(classes.select("set", "sig"))
-    involved = members.select("set").distinct().join(classes.select("set", "key").hint("merge"), "set")
-    sets = cut(texts.join(involved.hint("merge"), "key").select("set", "text").mapInArrow(_sets(words), "set binary, shingles binary").dropDuplicates(["set"]))
+    involved = members.select("c").distinct().join(classes.select("c", "key", "buckets").hint("merge"), "c")
+    sets = cut(texts.join(involved.hint("merge"), "key").select("c", "buckets", "text").mapInArrow(_sets(words), "c long, buckets array<long>, shingles binary, sig array<long>").dropDuplicates(["c"]))
+    signed = sets.select("c", F.struct(*[F.col("sig")[k].alias(f"s{k}") for k in range(LONGS)]).alias("sig"), marks)
     near = percent / 100 - slack(percent)
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        left = pairs.join(sets.select(F.col("set").alias("u"), F.col("shingles").alias("x")).hint("merge"), "u")
-        full = left.join(sets.select(F.col("set").alias("v"), F.col("shingles").alias("y")).hint("merge"), "v").select("u", "v", "x", "y")
-        return cut(full.mapInArrow(_confirmed(percent), "u binary, v binary"))
+        left = pairs.join(sets.select(F.col("c").alias("u"), F.col("shingles").alias("x")).hint("merge"), "u")
+        full = left.join(sets.select(F.col("c").alias("v"), F.col("shingles").alias("y")).hint("merge"), "v").select("u", "v", "x", "y")
+        return cut(full.mapInArrow(_confirmed(percent), "u long, v long"))
 
-    stars = members.where("set <> hub").select(F.col("set").alias("u"), F.col("hub").alias("v")).distinct()
-    rated = stars.join(signed.select(F.col("set").alias("u"), F.col("sig").alias("a")).hint("merge"), "u").join(signed.select(F.col("set").alias("v"), F.col("sig").alias("b")).hint("merge"), "v")
+    stars = members.where("c <> hub").select(F.col("c").alias("u"), F.col("hub").alias("v")).distinct()
+    rated = stars.join(signed.select(F.col("c").alias("u"), F.col("sig").alias("a")).hint("merge"), "u").join(signed.select(F.col("c").alias("v"), F.col("sig").alias("b")).hint("merge"), "v")
     first = confirm(rated.where(similarity("a", "b") >= near).select("u", "v"))
-    joined = cut(components(first))
-    placed = cut(members.select("set", "bucket").join(joined.withColumnRenamed("u", "set").hint("merge"), "set", "left").select("set", "bucket", F.coalesce("component", "set").alias("part")))
+    # classes that are known to be connected get one part: that of the smallest confirmed hub, or of that hub's own
+    up = cut(first.groupBy("u").agg(F.min("v").alias("part")).withColumnRenamed("u", "c"))
+    higher = up.select(F.col("c").alias("part"), F.col("part").alias("top")).hint("merge")
+    joined = up.join(higher, "part", "left").select("c", F.coalesce("top", "part").alias("part"))
+    placed = cut(members.select("c", "bucket").join(cut(joined).hint("merge"), "c", "left").select("c", "bucket", F.coalesce("part", "c").alias("part")))
     mixed = cut(placed.groupBy("bucket").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("bucket"))
-    left = cut(placed.join(mixed.hint("merge"), "bucket").join(signed.hint("merge"), "set"))
-    a, b = (left.select("bucket", *[F.col(c).alias(c + n) for c in ("set", "part", "sig")]) for n in "ab")
-    alike = (F.col("bucket") == F.col("other")) & (F.col("parta") < F.col("partb")) & (similarity("siga", "sigb") >= near)
+    left = cut(placed.join(mixed.hint("merge"), "bucket").join(signed.hint("merge"), "c"))
+    a, b = (left.select("bucket", *[F.col(c).alias(c + n) for c in ("c", "part", "sig", "marks")]) for n in "ab")
+    alike = (F.col("bucket") == F.col("other")) & (F.col("parta") < F.col("partb")) & (similarity("siga", "sigb") >= near) & (F.shiftright("bucket", 32) == first_shared("marksa", "marksb"))
     across = a.hint("merge").join(b.withColumnRenamed("bucket", "other"), alike)
-    second = confirm(across.select(F.col("seta").alias("u"), F.col("setb").alias("v")).distinct())
-    return first.unionByName(second)
+    return first.unionByName(confirm(across.select(F.col("ca").alias("u"), F.col("cb").alias("v")).distinct()))
 
 
 def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """One row per row: id, n_shingles, component_id, kept, and row_key, the binary key of id and text."""
     keyed = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), row_key(id_col, text_col).alias("key"), text_or_empty(text_col).alias("text"))
-    sketch = cut(keyed.mapInArrow(_sketch(words), "id long, key binary, n long, set binary, sig array<long>, buckets array<long>"))
-    sig = F.struct(*[F.col("sig")[k].alias(f"s{k}") for k in range(LONGS)]).alias("sig")
-    by_set = sketch.where("set is not null").groupBy("set").agg(F.min("id").alias("id"), F.min(F.struct("key", sig, "buckets")).alias("own"))
-    classes = cut(by_set.select("set", "id", "own.key", "own.sig", "own.buckets"))
+    sketch = cut(keyed.mapInArrow(_sketch(words), "id long, key binary, n long, set binary, buckets array<long>"))
+    by_set = sketch.where("set is not null").groupBy("set").agg(F.min("id").alias("id"), F.min(F.struct("key", "buckets")).alias("own"))
+    classes = cut(by_set.select(F.monotonically_increasing_id().alias("c"), "set", "id", "own.key", "own.buckets"))
     found = components(links(classes, keyed.select("key", "text"), percent, words))
-    part = classes.select("set", "id").join(found.withColumnRenamed("u", "set").hint("merge"), "set", "left").withColumn("part", F.coalesce("component", "set"))
+    part = classes.select("set", "c", "id").join(found.withColumnRenamed("u", "c").hint("merge"), "c", "left").select("set", "id", F.coalesce("component", "c").alias("part"))
     least = part.groupBy("part").agg(F.min("id").alias("component_id"))
     named = cut(part.select("set", "part").join(cut(least).hint("merge"), "part").select("set", "component_id"))
     rows = sketch.select("id", "key", "n", "set").join(named.hint("merge"), "set", "left")
