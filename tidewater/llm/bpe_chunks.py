@@ -93,13 +93,17 @@ def _encoded(enc: Encoder, chunks: list[bytes]) -> list[tuple[np.ndarray, np.nda
 
 
 def _own(path: str):
-    """Of rows with their shared chunks, those that own some: digest, ids and piece lengths of each chunk owned."""
+    """Of rows with their shared chunks, sorted by key, those that own some: digest, ids and piece lengths of each chunk owned."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc, last = encoder(path), None
         for batch in batches:
-            held = batch.column(batch.schema.get_field_index("held"))
-            batch = batch.filter(held.is_valid())
+            keys = batch.column(batch.schema.get_field_index("key")).to_pylist()
+            held = batch.column(batch.schema.get_field_index("held")).is_valid().to_pylist()
+            # repeated rows stand together; one of them speaks for all
+            fresh = [h and k != before for h, k, before in zip(held, keys, [last, *keys], strict=False)]
+            last = keys[-1] if keys else last
+            batch = batch.filter(pa.array(fresh, pa.bool_()))
             for part, _, chunks in _texts(batch):
                 lists = part.column(part.schema.get_field_index("held")).to_pylist()
                 mine = {h["digest"]: own[h["seq"]] for own, held in zip(chunks, lists, strict=True) for h in held if h["owner"]}
@@ -196,8 +200,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     held = links.groupBy("key").agg(F.collect_set(F.struct("seq", "digest", "owner")).alias("held"))
     own = keyed.join(held.hint("merge"), "key", "left").select("id", "key", "text", "held")
     coded = own.mapInArrow(_own(path), "digest binary, ids binary, lens binary")
-    coded = coded.groupBy("digest").agg(F.first("ids").alias("ids"), F.first("lens").alias("lens"))  # repeated rows own the same chunks
-    spread = links.select("key", "seq", "digest").join(cut(coded).hint("merge"), "digest").groupBy("key").agg(F.collect_set(F.struct("seq", "ids", "lens")).alias("shared"))
+    # no cut here: within one query both uses of the texts' exchange are one
+    spread = links.select("key", "seq", "digest").join(coded.hint("merge"), "digest").groupBy("key").agg(F.collect_set(F.struct("seq", "ids", "lens")).alias("shared"))
     rows = keyed.join(spread.hint("merge"), "key", "left").select("id", "key", "text", "shared")
     kinds = {"n_tokens": T.LongType(), "ids": T.BinaryType(), "decoded": T.StringType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType()}
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *[T.StructField(c, kinds[c]) for c in output]])

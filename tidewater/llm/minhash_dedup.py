@@ -4,9 +4,9 @@
    which give bucket keys. For classes that share a bucket, a second pass keeps the set and, of 1024 minima, the two low
    bits each, packed into 32 longs.
 2. Equal sets become one class (partial aggregation, so any number of copies is cheap).
-3. Classes that share a bucket are candidates. First each meets its bucket's first class; classes linked with the same
-   one are known to be connected. Then, in buckets that still hold several such parts, classes of different parts meet.
-   Links inside a part add nothing and are never listed, so a bucket of n alike texts costs n pairs, not n * n.
+3. Classes that share a bucket are candidates. First each meets its bucket's first and last class; what those links
+   connect is a part. Then, in buckets that still hold several parts, classes of different parts meet. Links inside a
+   part add nothing and are never listed, so a bucket of n alike texts costs 2 n pairs, not n * n.
 4. Bit counts of the packed signatures estimate each candidate's similarity, corrected for chance agreement of two
    bits (1/4); what lies more than six deviations under the threshold goes.
 5. The rest is confirmed exactly on full sets, and links become connected components.
@@ -179,7 +179,7 @@ def links(classes: DataFrame, texts: DataFrame, percent: int, words: int) -> Dat
     spread = classes.select("c", F.explode("buckets").alias("bucket"))
     # half of each bucket key, two to a long: enough to tell which bucket is the first that two classes share
     marks = F.struct(*[F.shiftleft(F.shiftright(F.col("buckets")[2 * k], 32), 32).bitwiseOR(F.shiftrightunsigned(F.col("buckets")[2 * k + 1], 32)).alias(f"m{k}") for k in range(BANDS // 2)]).alias("marks")
-    meeting = cut(spread.groupBy("bucket").agg(F.min("c").alias("hub"), F.max("c").alias("last")).where("hub <> last").select("bucket", "hub"))
+    meeting = cut(spread.groupBy("bucket").agg(F.min("c").alias("hub"), F.max("c").alias("last")).where("hub <> last"))
     members = cut(spread.join(meeting.hint("merge"), "bucket"))
     involved = members.select("c").distinct().join(classes.select("c", "key", "buckets").hint("merge"), "c")
     sets = cut(texts.join(involved.hint("merge"), "key").select("c", "buckets", "text").mapInArrow(_sets(words), "c long, buckets array<long>, shingles binary, sig array<long>").dropDuplicates(["c"]))
@@ -191,14 +191,12 @@ def links(classes: DataFrame, texts: DataFrame, percent: int, words: int) -> Dat
         full = left.join(sets.select(F.col("c").alias("v"), F.col("shingles").alias("y")).hint("merge"), "v").select("u", "v", "x", "y")
         return cut(full.mapInArrow(_confirmed(percent), "u long, v long"))
 
-    stars = members.where("c <> hub").select(F.col("c").alias("u"), F.col("hub").alias("v")).distinct()
+    ends = F.explode(F.array("hub", "last")).alias("v")
+    stars = members.select(F.col("c").alias("u"), ends).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     rated = stars.join(signed.select(F.col("c").alias("u"), F.col("sig").alias("a")).hint("merge"), "u").join(signed.select(F.col("c").alias("v"), F.col("sig").alias("b")).hint("merge"), "v")
     first = confirm(rated.where(similarity("a", "b") >= near).select("u", "v"))
-    # classes that are known to be connected get one part: that of the smallest confirmed hub, or of that hub's own
-    up = cut(first.groupBy("u").agg(F.min("v").alias("part")).withColumnRenamed("u", "c"))
-    higher = up.select(F.col("c").alias("part"), F.col("part").alias("top")).hint("merge")
-    joined = up.join(higher, "part", "left").select("c", F.coalesce("top", "part").alias("part"))
-    placed = cut(members.select("c", "bucket").join(cut(joined).hint("merge"), "c", "left").select("c", "bucket", F.coalesce("part", "c").alias("part")))
+    joined = cut(components(first)).withColumnRenamed("u", "c").withColumnRenamed("component", "part")
+    placed = cut(members.select("c", "bucket").join(joined.hint("merge"), "c", "left").select("c", "bucket", F.coalesce("part", "c").alias("part")))
     mixed = cut(placed.groupBy("bucket").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("bucket"))
     left = cut(placed.join(mixed.hint("merge"), "bucket").join(signed.hint("merge"), "c"))
     a, b = (left.select("bucket", *[F.col(c).alias(c + n) for c in ("c", "part", "sig", "marks")]) for n in "ab")
