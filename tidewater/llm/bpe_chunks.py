@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe_words import Encoder, default_path, encoder
-from .shared import cut, mix64, row_key, slices, text_bytes, text_or_empty
+from .shared import cut, mix64, row_key, slices, table, text_bytes, text_or_empty
 
 #: Bytes: of the rolling window, the least and the largest chunk; the mean is the least plus 2 to the power CUT_BITS.
 WINDOW, LEAST, LARGEST, CUT_BITS = 16, 512, 16384, 11
@@ -92,8 +92,17 @@ def _encoded(enc: Encoder, chunks: list[bytes]) -> list[tuple[np.ndarray, np.nda
     return [(ids[ends[a] : ends[b]], lengths[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
+def _lengths(n: np.ndarray) -> bytes:
+    """Numbers of ids as one byte each, or, after a byte that says so, two."""
+    return b"\1" + n.astype(np.uint8).tobytes() if n.max(initial=0) < 256 else b"\2" + n.astype("<u2").tobytes()
+
+
+def _read_lengths(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
+
+
 def _own(path: str):
-    """Of rows with their shared chunks, sorted by key, those that own some: digest, ids and piece lengths of each chunk owned."""
+    """Of rows sorted by key, those that own shared chunks: digest, ids and piece lengths of each chunk owned."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, last = encoder(path), None
@@ -106,10 +115,10 @@ def _own(path: str):
             batch = batch.filter(pa.array(fresh, pa.bool_()))
             for part, _, chunks in _texts(batch):
                 lists = part.column(part.schema.get_field_index("held")).to_pylist()
-                mine = {h["digest"]: own[h["seq"]] for own, held in zip(chunks, lists, strict=True) for h in held if h["owner"]}
+                mine = {h["digest"]: own[h["seq"]] for own, held in zip(chunks, lists, strict=True) for h in held}
                 if mine:
                     done = _encoded(enc, list(mine.values()))
-                    yield pa.RecordBatch.from_arrays([pa.array(list(mine), pa.binary()), pa.array([i.astype(np.uint32).astype(enc.dtype).tobytes() for i, _ in done], pa.binary()), pa.array([n.astype(np.uint16).tobytes() for _, n in done], pa.binary())], ["digest", "ids", "lens"])
+                    yield pa.RecordBatch.from_arrays([pa.array(list(mine), pa.binary()), pa.array([i.astype(np.uint32).astype(enc.dtype).tobytes() for i, _ in done], pa.binary()), pa.array([_lengths(n) for _, n in done], pa.binary())], ["digest", "ids", "lens"])
 
     return run
 
@@ -169,7 +178,7 @@ def _finish(path: str):
         for batch in batches:
             for part, texts, chunks in _texts(batch):
                 given = part.column(part.schema.get_field_index("shared")).to_pylist()
-                have = [{s["seq"]: (np.frombuffer(s["ids"], enc.dtype), np.frombuffer(s["lens"], np.uint16).astype(np.int64)) for s in g or ()} for g in given]
+                have = [{s["seq"]: (np.frombuffer(s["ids"], enc.dtype), _read_lengths(s["lens"])) for s in g or ()} for g in given]
                 todo = [c for own, h in zip(chunks, have, strict=True) for i, c in enumerate(own) if i not in h]
                 done = iter(_encoded(enc, todo))
                 rows = []
@@ -194,10 +203,10 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     path = path or default_path()
     keyed = docs.select(F.col(f"`{id_col}`").alias("id"), row_key(id_col, text_col).alias("key"), text_or_empty(text_col).alias("text"))
     # both sides of the joins on digests are cut, so that nothing but exchanges stands below them and hot partitions can be split
-    chunks = cut(keyed.select("key", "text").mapInArrow(_digests, "key binary, seq int, digest binary"))
+    chunks = table(keyed.select("key", "text").mapInArrow(_digests, "key binary, seq int, digest binary"), "chunks")
     shared = cut(chunks.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("key", "seq")).alias("first")).where("n > 1"))
     links = cut(chunks.join(shared.hint("merge"), "digest").select("key", "seq", "digest", (F.struct("key", "seq") == F.col("first")).alias("owner")))
-    held = links.groupBy("key").agg(F.collect_set(F.struct("seq", "digest", "owner")).alias("held"))
+    held = links.where("owner").groupBy("key").agg(F.collect_set(F.struct("seq", "digest")).alias("held"))
     own = keyed.join(held.hint("merge"), "key", "left").select("id", "key", "text", "held")
     coded = own.mapInArrow(_own(path), "digest binary, ids binary, lens binary")
     # no cut here: within one query both uses of the texts' exchange are one
