@@ -1,4 +1,4 @@
-"""Every registered query and its SQL, by module."""
+"""Every registered query over the reference operators, and its SQL."""
 
 from __future__ import annotations
 
@@ -6,7 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: list = []
+from . import cue_queries, job_queries
+
+MODULES = [cue_queries, job_queries]
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cue_queries.source_quality(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
