@@ -71,7 +71,7 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[bytes],
             ends = cuts(own)
             whole = own.tobytes()
             texts.append(whole)
-            chunks.append([whole[s:e] for s, e in zip([0, *ends[:-1]], ends, strict=True)])
+            chunks.append([whole[s:e] for s, e in zip([0, *ends], ends, strict=False)])
         yield part, texts, chunks
 
 
