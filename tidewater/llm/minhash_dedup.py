@@ -4,8 +4,8 @@
    which give bucket keys. For classes that share a bucket, a second pass keeps the set and, of 1024 minima, the two low
    bits each, packed into 32 longs.
 2. Equal sets become one class (partial aggregation, so any number of copies is cheap).
-3. Classes that share a bucket are candidates. First each meets its bucket's first and last class; what those links
-   connect is a part. Then, in buckets that still hold several parts, classes of different parts meet. Links inside a
+3. Classes that share a bucket are candidates. First each meets its bucket's hub, the class that shares buckets with the
+   most others, and its last class; what those links connect is a part. Then, in buckets that still hold several parts, classes of different parts meet. Links inside a
    part add nothing and are never listed, so a bucket of n alike texts costs 2 n pairs, not n * n.
 4. Bit counts of the packed signatures estimate each candidate's similarity, corrected for chance agreement of two
    bits (1/4); what lies more than six deviations under the threshold goes.
@@ -179,8 +179,12 @@ def links(classes: DataFrame, texts: DataFrame, percent: int, words: int) -> Dat
     spread = classes.select("c", F.explode("buckets").alias("bucket"))
     # half of each bucket key, two to a long: enough to tell which bucket is the first that two classes share
     marks = F.struct(*[F.shiftleft(F.shiftright(F.col("buckets")[2 * k], 32), 32).bitwiseOR(F.shiftrightunsigned(F.col("buckets")[2 * k + 1], 32)).alias(f"m{k}") for k in range(BANDS // 2)]).alias("marks")
-    meeting = cut(spread.groupBy("bucket").agg(F.min("c").alias("hub"), F.max("c").alias("last")).where("hub <> last"))
-    members = cut(spread.join(meeting.hint("merge"), "bucket"))
+    meeting = cut(spread.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"))
+    met = cut(spread.join(meeting.hint("merge"), "bucket"))
+    # the class that meets the most others, as an original does among its variants, is its buckets' hub
+    company = met.groupBy("c").agg(F.sum("size").alias("company"))
+    hubs = met.join(company.hint("merge"), "c").groupBy("bucket").agg(F.max(F.struct("company", "c")).alias("hub"), F.max("c").alias("last"))
+    members = cut(met.select("bucket", "c").join(hubs.select("bucket", F.col("hub.c").alias("hub"), "last").hint("merge"), "bucket"))
     involved = members.select("c").distinct().join(classes.select("c", "key", "buckets").hint("merge"), "c")
     sets = cut(texts.join(involved.hint("merge"), "key").select("c", "buckets", "text").mapInArrow(_sets(words), "c long, buckets array<long>, shingles binary, sig array<long>").dropDuplicates(["c"]))
     signed = sets.select("c", F.struct(*[F.col("sig")[k].alias(f"s{k}") for k in range(LONGS)]).alias("sig"), marks)
