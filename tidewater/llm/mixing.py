@@ -8,7 +8,8 @@ all rows find theirs in parallel. A source that has run out leaves its slots emp
 row is lost. The deviation holds up to the first slot that stays empty.
 
 Numbering inside a source takes no window over the source: its rows fall into 4096 cells by the leading bits of md5(id),
-are numbered within the cell, and start after the cells before it (a table of sources times cells, broadcast).
+are numbered within the cell, and start after the cells before it. That table of sources times cells
+joins rows that the numbering has dealt and sorted by cell already, so they move once.
 
 Defined results: sources without a weight and null sources are one pool of weight `other`. Null ids count as the empty
 string in md5; rows with equal ids follow each other in the order of their texts' digests, equal rows in any order.
@@ -61,7 +62,7 @@ def arrange(docs: DataFrame, weights: dict[str, int], other: int = 1, block_size
     before = Window.partitionBy("__group").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("__group", "__cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))  # (weights + 1) * CELLS rows at most
     inside = Window.partitionBy("__group", "__cell").orderBy("__order", F.col(f"`{id_col}`"), F.md5(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))))
-    numbered = rows.withColumn("__n", F.row_number().over(inside)).join(F.broadcast(starts), ["__group", "__cell"])
+    numbered = rows.withColumn("__n", F.row_number().over(inside)).join(starts.hint("merge"), ["__group", "__cell"])
     table = F.create_map(*[x for s in sorted(slots) for x in (F.lit(s), F.array(*[F.lit(t) for t in slots[s]]))])
     share = F.create_map(*[x for s in sorted(shares) for x in (F.lit(s), F.lit(shares[s]))])
     number = F.col("__start") + F.col("__n") - 1
