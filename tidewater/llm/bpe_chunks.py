@@ -6,7 +6,7 @@ first occurrence, and their ids are joined to all rows that hold them; other chu
 pieces that a cut divided are put together and encoded anew, in a window that grows until its outer pieces get exactly
 the ids they had in their chunks.
 
-What moves: 16-byte digests of chunks, one shuffle of the texts by row key (used twice), ids of shared chunks. A chunk
+What moves: 16-byte digests of chunks, one shuffle of the texts by row key (used twice), deflated ids of shared chunks. A chunk
 that a third of the rows hold is one row on its own side of a plain join, whose hot partition adaptive execution splits.
 
 Defined results: a null text counts as empty and has no ids. Rows that repeat id and text get equal results, one each;
@@ -16,6 +16,7 @@ null ids are kept. Texts of any length are processed whole. Other columns are no
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -93,11 +94,12 @@ def _encoded(enc: Encoder, chunks: list[bytes]) -> list[tuple[np.ndarray, np.nda
 
 
 def _lengths(n: np.ndarray) -> bytes:
-    """Numbers of ids as one byte each, or, after a byte that says so, two."""
-    return b"\1" + n.astype(np.uint8).tobytes() if n.max(initial=0) < 256 else b"\2" + n.astype("<u2").tobytes()
+    """Numbers of ids as one byte each, or, after a byte that says so, two; deflated."""
+    return zlib.compress(b"\1" + n.astype(np.uint8).tobytes() if n.max(initial=0) < 256 else b"\2" + n.astype("<u2").tobytes())
 
 
 def _read_lengths(data: bytes) -> np.ndarray:
+    data = zlib.decompress(data)
     return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
 
 
@@ -118,7 +120,7 @@ def _own(path: str):
                 mine = {h["digest"]: own[h["seq"]] for own, held in zip(chunks, lists, strict=True) for h in held}
                 if mine:
                     done = _encoded(enc, list(mine.values()))
-                    yield pa.RecordBatch.from_arrays([pa.array(list(mine), pa.binary()), pa.array([i.astype(np.uint32).astype(enc.dtype).tobytes() for i, _ in done], pa.binary()), pa.array([_lengths(n) for _, n in done], pa.binary())], ["digest", "ids", "lens"])
+                    yield pa.RecordBatch.from_arrays([pa.array(list(mine), pa.binary()), pa.array([zlib.compress(i.astype(np.uint32).astype(enc.dtype).tobytes()) for i, _ in done], pa.binary()), pa.array([_lengths(n) for _, n in done], pa.binary())], ["digest", "ids", "lens"])
 
     return run
 
@@ -178,7 +180,7 @@ def _finish(path: str):
         for batch in batches:
             for part, texts, chunks in _texts(batch):
                 given = part.column(part.schema.get_field_index("shared")).to_pylist()
-                have = [{s["seq"]: (np.frombuffer(s["ids"], enc.dtype), _read_lengths(s["lens"])) for s in g or ()} for g in given]
+                have = [{s["seq"]: (np.frombuffer(zlib.decompress(s["ids"]), enc.dtype), _read_lengths(s["lens"])) for s in g or ()} for g in given]
                 todo = [c for own, h in zip(chunks, have, strict=True) for i, c in enumerate(own) if i not in h]
                 done = iter(_encoded(enc, todo))
                 rows = []
