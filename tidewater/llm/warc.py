@@ -203,5 +203,7 @@ def read(archive: Archive, with_payload: bool = True) -> DataFrame:
                         raise ValueError(f"{name} at {entry['start']}: the payload does not have its digest")
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], k) for c, k in zip(names, kinds, strict=False)], names)
 
-    placed = archive.index.select("file", "start", "size").repartition("file").sortWithinPartitions("file", "start")
+    # a fixed number: the index is small beside its archives, so partitions must not be merged by their size
+    n = int(archive.index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = archive.index.select("file", "start", "size").repartition(n, "file").sortWithinPartitions("file", "start")
     return placed.mapInArrow(run, "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long" + ", payload binary" * with_payload)
