@@ -1,14 +1,14 @@
 """Near-duplicates by b-bit MinHash over word shingles.
 
 1. One pass over the texts: set of shingles (64-bit hashes of its words), its digest, and forty bands of six minima,
-   which give bucket keys. For classes that share a bucket, a second pass keeps the set and, of 1024 minima, the two low
-   bits each, packed into 32 longs.
+   which give bucket keys. For classes that share a bucket, a second pass keeps the set and, of 2048 minima, the two low
+   bits each, packed into 64 longs.
 2. Equal sets become one class (partial aggregation, so any number of copies is cheap).
 3. Classes that share a bucket are candidates. First each meets its bucket's hub, the class that shares buckets with the
-   most others, and its last class; what those links connect is a part. Then, in buckets that still hold several parts, classes of different parts meet. Links inside a
-   part add nothing and are never listed, so a bucket of n alike texts costs 2 n pairs, not n * n.
+   most others; what those links connect is a part. Then, in buckets that still hold several parts, classes of different
+   parts meet. Links inside a part add nothing and are never listed, so a bucket of n alike texts costs n pairs, not n * n.
 4. Bit counts of the packed signatures estimate each candidate's similarity, corrected for chance agreement of two
-   bits (1/4); what lies more than six deviations under the threshold goes.
+   bits (1/4); what lies more than six deviations under the threshold goes, and so do sets too unlike in size.
 5. The rest is confirmed exactly on full sets, and links become connected components.
 
 A pair at the threshold shares no bucket with probability (1 - 0.85 ** 6) ** 40, about 6e-9 (at 0.8: 5e-6). A pair that
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .shared import cut, mix64, row_key, slices, text_bytes, text_or_empty
 
-MINIMA, ROWS, BANDS, LOW_BITS = 1024, 6, 40, 2
+MINIMA, ROWS, BANDS, LOW_BITS = 2048, 6, 40, 2
 LONGS = MINIMA * LOW_BITS // 64
 _A = ((mix64(np.arange(MINIMA, dtype=np.uint64) + np.uint64(0xABCDEF)) >> np.uint64(32)) | np.uint64(1)).astype(np.uint32)
 _BYTE = mix64(np.arange(256, dtype=np.uint64) + np.uint64(0x5151))
@@ -174,6 +174,12 @@ def slack(percent: int) -> float:
     return 6 * (p * (1 - p) / MINIMA) ** 0.5 / (1 - chance)
 
 
+def may_be_alike(a: str, b: str, percent: int) -> Column:
+    """Whether two columns of signatures allow the threshold: by their sets' sizes (a proof) and by the estimate."""
+    x, y = F.col(f"{a}.size"), F.col(f"{b}.size")
+    return (100 * F.least(x, y) >= percent * F.greatest(x, y)) & (similarity(a, b) >= percent / 100 - slack(percent))
+
+
 def links(classes: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:
     """Class pairs (u, v) that are confirmed and connect all there is to connect. classes: c (long), key, buckets; texts: key, text."""
     spread = classes.select("c", F.explode("buckets").alias("bucket"))
@@ -183,28 +189,26 @@ def links(classes: DataFrame, texts: DataFrame, percent: int, words: int) -> Dat
     met = cut(spread.join(meeting.hint("merge"), "bucket"))
     # the class that meets the most others, as an original does among its variants, is its buckets' hub
     company = met.groupBy("c").agg(F.sum("size").alias("company"))
-    hubs = met.join(company.hint("merge"), "c").groupBy("bucket").agg(F.max(F.struct("company", "c")).alias("hub"), F.max("c").alias("last"))
-    members = cut(met.select("bucket", "c").join(hubs.select("bucket", F.col("hub.c").alias("hub"), "last").hint("merge"), "bucket"))
+    hubs = met.join(company.hint("merge"), "c").groupBy("bucket").agg(F.max(F.struct("company", "c")).alias("hub"))
+    members = cut(met.select("bucket", "c").join(hubs.select("bucket", F.col("hub.c").alias("hub")).hint("merge"), "bucket"))
     involved = members.select("c").distinct().join(classes.select("c", "key", "buckets").hint("merge"), "c")
     sets = cut(texts.join(involved.hint("merge"), "key").select("c", "buckets", "text").mapInArrow(_sets(words), "c long, buckets array<long>, shingles binary, sig array<long>").dropDuplicates(["c"]))
-    signed = sets.select("c", F.struct(*[F.col("sig")[k].alias(f"s{k}") for k in range(LONGS)]).alias("sig"), marks)
-    near = percent / 100 - slack(percent)
+    signed = sets.select("c", F.struct(*[F.col("sig")[k].alias(f"s{k}") for k in range(LONGS)], F.octet_length("shingles").alias("size")).alias("sig"), marks)
 
     def confirm(pairs: DataFrame) -> DataFrame:
         left = pairs.join(sets.select(F.col("c").alias("u"), F.col("shingles").alias("x")).hint("merge"), "u")
         full = left.join(sets.select(F.col("c").alias("v"), F.col("shingles").alias("y")).hint("merge"), "v").select("u", "v", "x", "y")
         return cut(full.mapInArrow(_confirmed(percent), "u long, v long"))
 
-    ends = F.explode(F.array("hub", "last")).alias("v")
-    stars = members.select(F.col("c").alias("u"), ends).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    stars = members.select(F.col("c").alias("u"), F.col("hub").alias("v")).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     rated = stars.join(signed.select(F.col("c").alias("u"), F.col("sig").alias("a")).hint("merge"), "u").join(signed.select(F.col("c").alias("v"), F.col("sig").alias("b")).hint("merge"), "v")
-    first = confirm(rated.where(similarity("a", "b") >= near).select("u", "v"))
+    first = confirm(rated.where(may_be_alike("a", "b", percent)).select("u", "v"))
     joined = cut(components(first)).withColumnRenamed("u", "c").withColumnRenamed("component", "part")
     placed = cut(members.select("c", "bucket").join(joined.hint("merge"), "c", "left").select("c", "bucket", F.coalesce("part", "c").alias("part")))
     mixed = cut(placed.groupBy("bucket").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("bucket"))
     left = cut(placed.join(mixed.hint("merge"), "bucket").join(signed.hint("merge"), "c"))
     a, b = (left.select("bucket", *[F.col(c).alias(c + n) for c in ("c", "part", "sig", "marks")]) for n in "ab")
-    alike = (F.col("bucket") == F.col("other")) & (F.col("parta") < F.col("partb")) & (similarity("siga", "sigb") >= near) & (F.shiftright("bucket", 32) == first_shared("marksa", "marksb"))
+    alike = (F.col("bucket") == F.col("other")) & (F.col("parta") < F.col("partb")) & may_be_alike("siga", "sigb", percent) & (F.shiftright("bucket", 32) == first_shared("marksa", "marksb"))
     across = a.hint("merge").join(b.withColumnRenamed("bucket", "other"), alike)
     return first.unionByName(confirm(across.select(F.col("ca").alias("u"), F.col("cb").alias("v")).distinct()))
 
