@@ -1,14 +1,14 @@
 """Near-duplicates by b-bit MinHash over word shingles.
 
 1. One pass over the texts: set of shingles (64-bit hashes of its words), its digest, and forty bands of six minima,
-   which give bucket keys. For classes that share a bucket, a second pass keeps the set and, of 2048 minima, the two low
-   bits each, packed into 64 longs.
+   which give bucket keys. For classes that share a bucket, a second pass keeps the set and, of 2048 minima, the low
+   bit each, packed into 32 longs.
 2. Equal sets become one class (partial aggregation, so any number of copies is cheap).
 3. Classes that share a bucket are candidates. First each meets its bucket's hub, the class that shares buckets with the
    most others; what those links connect is a part. Then, in buckets that still hold several parts, classes of different
    parts meet. Links inside a part add nothing and are never listed, so a bucket of n alike texts costs n pairs, not n * n.
-4. Bit counts of the packed signatures estimate each candidate's similarity, corrected for chance agreement of two
-   bits (1/4); what lies more than six deviations under the threshold goes, and so do sets too unlike in size.
+4. Bit counts of the packed signatures estimate each candidate's similarity, corrected for chance agreement of
+   bits (1/2); what lies more than six deviations under the threshold goes, and so do sets too unlike in size.
 5. The rest is confirmed exactly on full sets, and links become connected components.
 
 A pair at the threshold shares no bucket with probability (1 - 0.85 ** 6) ** 40, about 6e-9 (at 0.8: 5e-6). A pair that
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .shared import cut, mix64, row_key, slices, text_bytes, text_or_empty
 
-MINIMA, ROWS, BANDS, LOW_BITS = 2048, 6, 40, 2
+MINIMA, ROWS, BANDS, LOW_BITS = 2048, 6, 40, 1
 LONGS = MINIMA * LOW_BITS // 64
 _A = ((mix64(np.arange(MINIMA, dtype=np.uint64) + np.uint64(0xABCDEF)) >> np.uint64(32)) | np.uint64(1)).astype(np.uint32)
 _BYTE = mix64(np.arange(256, dtype=np.uint64) + np.uint64(0x5151))
@@ -92,8 +92,8 @@ def minima(shingles: np.ndarray, count: int = MINIMA) -> np.ndarray:
 
 
 def packed(low: np.ndarray) -> list[int]:
-    """Two low bits of each minimum, 32 to a long."""
-    bits = (low & np.uint64(3)).reshape(LONGS, 32) << (np.arange(32, dtype=np.uint64) * np.uint64(2))
+    """The low bit of each minimum, 64 to a long."""
+    bits = (low & np.uint64(1)).reshape(LONGS, 64) << np.arange(64, dtype=np.uint64)
     return np.bitwise_or.reduce(bits, axis=1).view(np.int64).tolist()
 
 
@@ -147,11 +147,9 @@ def _confirmed(percent: int):
 
 def similarity(a: str, b: str) -> Column:
     """Collision-corrected estimate from two columns that hold packed signatures."""
-    odd = F.lit(0x5555555555555555)
     apart = None
     for k in range(LONGS):
-        x = F.col(f"{a}.s{k}").bitwiseXOR(F.col(f"{b}.s{k}"))
-        n = F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(odd))
+        n = F.bit_count(F.col(f"{a}.s{k}").bitwiseXOR(F.col(f"{b}.s{k}")))
         apart = n if apart is None else apart + n
     chance = 0.5**LOW_BITS
     return ((MINIMA - apart) / MINIMA - chance) / (1 - chance)
