@@ -54,6 +54,25 @@ def test_bpe_edge_cases(odd, none):
     assert bpe_chunks.encode(none).count() == 0
 
 
+def test_bpe_joins_with_runs_of_space(spark):
+    enc, rng = encoder(default_path()), np.random.default_rng(11)
+    kinds = ["a\n\nb one  two the the the the ", "\n\n the\t \r\nthe  ", "the the the the the the", "x  y", "\n \n", "é\xa0\u2028\x85  ÉE\u0301 's <|endoftext|>  "]
+    apart = 0
+    for _ in range(400):
+        text = "".join(kinds[i] for i in rng.integers(0, len(kinds), rng.integers(1, 12)))
+        at = [0, *sorted({int(x) for x in rng.integers(1, len(text), rng.integers(1, 5))}), len(text)]
+        chunks = [text[a:b].encode() for a, b in zip(at, at[1:])]
+        coded = bpe_chunks._encoded(enc, chunks)
+        assert bpe_chunks.join_chunks(enc, chunks, coded).tolist() == enc.exactly([text])[0], chunks
+        apart += any(a[-2:] in (b"\n\n", b"  ") or b[:2] in (b"\n\n", b"  ") for a, b in zip(chunks, chunks[1:]))
+    assert apart > 50
+    lines = [" ".join(f"w{x}" for x in rng.integers(0, 50, 9)) for _ in range(400)]
+    texts = ["\n\n".join(lines), "  ".join(lines[:300]) + " \t\n" * 400, "\r\n\r\n".join(lines[100:]), "new " + "\n\n".join(lines)]
+    got = {r.doc_id: (r.n_tokens, bytes(r.ids)) for r in bpe_chunks.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), output=("n_tokens", "ids")).collect()}
+    want = [enc.exactly([t])[0] for t in texts]
+    assert got == {i: (len(w), np.array(w, "<u4").tobytes()) for i, w in enumerate(want)}
+
+
 def test_cuts_follow_content():
     body = np.frombuffer(("lorem ipsum dolor " * 900 + "sit amet " * 400).encode(), np.uint8)
     rng = np.random.default_rng(3).integers(97, 123, 20_000).astype(np.uint8)

@@ -16,6 +16,7 @@ null ids are kept. Texts of any length are processed whole. Other columns are no
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -130,7 +131,7 @@ def join_chunks(enc: Encoder, chunks: list[bytes], coded: list[tuple[np.ndarray,
     if len(chunks) == 1:
         return coded[0][0]
     out: list[np.ndarray] = []
-    words = [c.decode().translate(_TO_SPACE).split(" ") for c in chunks]
+    words = [_pieces(enc, c.decode()) for c in chunks]
     i, last = 0, len(chunks) - 1
     head = 0  # pieces of chunk i that an earlier join has done
     while i <= last:
@@ -153,7 +154,12 @@ def join_chunks(enc: Encoder, chunks: list[bytes], coded: list[tuple[np.ndarray,
     return np.concatenate(out) if out else np.zeros(0, enc.dtype)
 
 
-_TO_SPACE = {c: " " for c in _SPACE}
+_RUN_OF_SPACE = re.compile(f"[{_SPACE.decode()}]+")
+
+
+def _pieces(enc: Encoder, chunk: str) -> list[str]:
+    """The pieces whose lengths words_of gives: between runs of white space, empty ones at the ends included."""
+    return _RUN_OF_SPACE.split(chunk) if enc.by_word else [chunk]
 
 
 def _repaired(enc: Encoder, left: list[str], middle: str, right: list[str], left_lens: np.ndarray, left_ids: np.ndarray, *, lens: np.ndarray, ids: np.ndarray) -> np.ndarray:
