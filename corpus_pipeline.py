@@ -4,7 +4,7 @@ toxicity    rows that score 0.7 or more for toxicity go
 exact       of equal texts the row with the largest doc_id stays
 near        of each component of near-duplicates (five words, similarity 0.8 or more) the smallest doc_id stays
 mixing      rows are put in the order of the sources' target weights; none go
-bpe         rows become token ids and back
+bpe         rows become token ids and back, beside their slot and place in the mixing schedule and in that order
 
 All but the last return the columns of documents. Nulls, empty tables, repeated rows and clashing columns have the
 results that the operators' modules state; of rows that repeat an id and a text one passes stage exact.
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewater.llm import bpe_chunks, exact_dedup, minhash_dedup, mixing, queries, toxicity
-from tidewater.llm.shared import new_folder
+from tidewater.llm.shared import new_folder, row_key
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +36,14 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe_chunks.encode(docs, output=("n_tokens", "ids_sha256", "decoded_sha256"))
+    tokens = bpe_chunks.encode(docs, output=("row_key", "n_tokens", "ids_sha256", "decoded_sha256")).drop("doc_id")
+    # the schedule again: it follows from id, text and source, and no text moves for it
+    rows = docs.select("doc_id", "source", "text", row_key("doc_id", "text").alias("row_key"))
+    placed = mixing.arrange(rows, queries.WEIGHTS, queries.OTHER_WEIGHT, queries.BLOCK_SIZE).select("doc_id", "row_key", "slot", "place")
+    # rows that repeat id and text have equal tokens, and a place each
+    joined = placed.join(tokens.dropDuplicates(["row_key"]).hint("merge"), "row_key")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return joined.repartitionByRange(n, "slot", "place").sortWithinPartitions("slot", "place").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "slot", "place")
 
 
 STAGES = [("toxicity", drop_toxic), ("exact", drop_copies), ("near", drop_near_copies), ("mixing", mix_sources), ("bpe", encode)]

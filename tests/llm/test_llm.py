@@ -198,3 +198,22 @@ def test_pipeline(spark, odd, none):
     got = [r.doc_id for r in corpus_pipeline.run(spark, SMALL).collect()]
     assert len(got) == len(set(got)) and len({texts[i] for i in got}) == len(got)
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_pipeline_returns_the_schedule(spark, odd, none, monkeypatch):
+    monkeypatch.setattr(queries, "BLOCK_SIZE", 2)
+    docs = queries.table(spark, MID, "documents").withColumn("source", F.when(F.col("doc_id") % 3 == 0, "src19").otherwise(F.col("source")))
+    got = corpus_pipeline.encode(spark, docs, MID).collect()
+    assert [(r.slot, r.place) for r in got] == sorted({(r.slot, r.place) for r in got}) and len(got) == docs.count()
+    shares = {**queries.WEIGHTS, "*": queries.OTHER_WEIGHT}
+    total, source = sum(shares.values()), {r.doc_id: r.source if r.source in shares else "*" for r in docs.select("doc_id", "source").collect()}
+    held = {r.slot: source[r.doc_id] for r in got}
+    assert all(held[r.slot] == source[r.doc_id] for r in got)
+    full = next(t for t in range(len(got)) if t not in held)
+    assert full > 50
+    for t in range(full + 1):
+        for s, w in shares.items():
+            assert abs(sum(held[x] == s for x in range(t)) - t * w / total) < 1
+    again = corpus_pipeline.encode(spark, odd, SMALL).collect()
+    assert sorted(str(r.doc_id) for r in again) == sorted(str(r[0]) for r in ROWS) and len({(r.slot, r.place) for r in again}) == len(ROWS)
+    assert corpus_pipeline.encode(spark, none, SMALL).count() == 0

@@ -197,7 +197,7 @@ def _finish(path: str):
                 ids = np.concatenate(rows) if rows else np.zeros(0, enc.dtype)
                 decoded, decimal = enc.decode(ids, offsets), enc.decimal(ids, offsets)
                 sha = lambda col: pa.array([hashlib.sha256(x.encode()).hexdigest() for x in col.to_pylist()])
-                columns = {"ids": lambda: pa.array([r.astype("<u4").tobytes() for r in rows], pa.binary()), "decoded": lambda: decoded.cast(pa.string()), "n_tokens": lambda: pa.array(np.diff(offsets)), "ids_sha256": lambda: sha(decimal), "decoded_sha256": lambda: sha(decoded)}
+                columns = {"ids": lambda: pa.array([r.astype("<u4").tobytes() for r in rows], pa.binary()), "decoded": lambda: decoded.cast(pa.string()), "n_tokens": lambda: pa.array(np.diff(offsets)), "ids_sha256": lambda: sha(decimal), "decoded_sha256": lambda: sha(decoded), "row_key": lambda: part.column(1)}
                 yield part, columns
 
     return run
@@ -206,7 +206,8 @@ def _finish(path: str):
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, output: tuple[str, ...] = ("n_tokens", "ids", "decoded")) -> DataFrame:
     """One row per row: id and the outputs asked for.
 
-    n_tokens long; ids binary, little-endian unsigned 32-bit; decoded string; ids_sha256, decoded_sha256 hex strings.
+    n_tokens long; ids binary, little-endian unsigned 32-bit; decoded string; ids_sha256, decoded_sha256 hex strings;
+    row_key binary, of id and text.
     """
     path = path or default_path()
     keyed = docs.select(F.col(f"`{id_col}`").alias("id"), row_key(id_col, text_col).alias("key"), text_or_empty(text_col).alias("text"))
@@ -220,7 +221,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     # no cut here: within one query both uses of the texts' exchange are one
     spread = links.select("key", "seq", "digest").join(coded.hint("merge"), "digest").groupBy("key").agg(F.collect_set(F.struct("seq", "ids", "lens")).alias("shared"))
     rows = keyed.join(spread.hint("merge"), "key", "left").select("id", "key", "text", "shared")
-    kinds = {"n_tokens": T.LongType(), "ids": T.BinaryType(), "decoded": T.StringType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType()}
+    kinds = {"n_tokens": T.LongType(), "ids": T.BinaryType(), "decoded": T.StringType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType(), "row_key": T.BinaryType()}
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *[T.StructField(c, kinds[c]) for c in output]])
     finish = _finish(path)
 
