@@ -112,6 +112,14 @@ def test_near_dedup_edge_cases(odd, none):
     assert minhash_dedup.decide(none).count() == 0
 
 
+def test_near_dedup_keeps_one_of_null_or_repeated_ids(spark):
+    base = {k: " ".join(f"{k}{i}" for i in range(80)) for k in "abcd"}
+    ids = {"a": (None, None, None), "b": (7, 7, 9), "c": (None, 4, None), "d": (3, 2, 2)}
+    docs = spark.createDataFrame([(i, f"{base[k]} end{n}") for k, own in ids.items() for n, i in enumerate(own)] + [(None, " "), (None, None), (8, "")], "doc_id long, text string")
+    got = sorted((str(r.doc_id), (r.text or " ")[:1]) for r in minhash_dedup.survivors(docs).collect())
+    assert got == [("2", "d"), ("4", "c"), ("7", "b"), ("8", " "), ("None", " "), ("None", " "), ("None", "a")]
+
+
 def test_url_edge_cases(spark):
     pages = spark.createDataFrame([(1, "http://A.Example.ORG/es/x"), (1, "http://A.Example.ORG/es/x"), (2, None), (None, "no scheme"), (3, "x://org"), (4, "x://example.org/en/123?q"), (5, "x://notexample.org/es/")], "page_id long, url string")
     rules = url_filter.rules_frame(spark, queries.RULES)

@@ -16,8 +16,10 @@ shares several buckets is listed in the first of them.
 
 Defined results: a null or blank text has an empty set and is linked with nothing. Texts with fewer words than a shingle
 have one element, the whole sequence. Null ids take part but name no component: component_id is the smallest id that
-isn't null, null where there is none. Rows that repeat an id and text share their result in decide(); survivors() keeps
-one. An empty table gives an empty result. Other columns are not read; survivors() returns exactly the input's columns.
+isn't null, null where there is none. Rows that repeat an id and text share their result in decide(), where kept marks
+every row that has its component's id, so several texts where an id repeats or all are null; survivors() keeps one row of
+each component, of the smallest id and then row key, nulls last. An empty table gives an empty result.
+Other columns are not read; survivors() returns exactly the input's columns.
 """
 
 from __future__ import annotations
@@ -211,14 +213,19 @@ def links(classes: DataFrame, texts: DataFrame, percent: int, words: int) -> Dat
     return first.unionByName(confirm(across.select(F.col("ca").alias("u"), F.col("cb").alias("v")).distinct()))
 
 
-def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """One row per row: id, n_shingles, component_id, kept, and row_key, the binary key of id and text."""
+def _parts(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, key, n, set, buckets), and of each set that isn't empty its smallest id and its component's class (set, id, part)."""
     keyed = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), row_key(id_col, text_col).alias("key"), text_or_empty(text_col).alias("text"))
     sketch = cut(keyed.mapInArrow(_sketch(words), "id long, key binary, n long, set binary, buckets array<long>"))
     by_set = sketch.where("set is not null").groupBy("set").agg(F.min("id").alias("id"), F.min(F.struct("key", "buckets")).alias("own"))
     classes = cut(by_set.select(F.monotonically_increasing_id().alias("c"), "set", "id", "own.key", "own.buckets"))
     found = components(links(classes, keyed.select("key", "text"), percent, words))
-    part = classes.select("set", "c", "id").join(found.withColumnRenamed("u", "c").hint("merge"), "c", "left").select("set", "id", F.coalesce("component", "c").alias("part"))
+    return sketch, classes.select("set", "c", "id").join(found.withColumnRenamed("u", "c").hint("merge"), "c", "left").select("set", "id", F.coalesce("component", "c").alias("part"))
+
+
+def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """One row per row: id, n_shingles, component_id, kept, and row_key, the binary key of id and text."""
+    sketch, part = _parts(docs, id_col, text_col, words, percent)
     least = part.groupBy("part").agg(F.min("id").alias("component_id"))
     named = cut(part.select("set", "part").join(cut(least).hint("merge"), "part").select("set", "component_id"))
     rows = sketch.select("id", "key", "n", "set").join(named.hint("merge"), "set", "left")
@@ -228,5 +235,9 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
 
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """The input's rows of which one stays for each component, with all columns of the input."""
-    kept = decide(docs, id_col, text_col, words, percent).where("kept").select(F.col("row_key").alias("__row_key")).distinct()
+    sketch, part = _parts(docs, id_col, text_col, words, percent)
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first")
+    firsts = sketch.where("set is not null").groupBy("set").agg(first)
+    one = part.select("set", "part").join(firsts.hint("merge"), "set").groupBy("part").agg(F.min("first").alias("first")).select(F.col("first.key").alias("__row_key"))
+    kept = one.unionByName(sketch.where("set is null").select(F.col("key").alias("__row_key")).distinct())
     return docs.withColumn("__row_key", row_key(id_col, text_col)).join(kept, "__row_key", "left_semi").dropDuplicates(["__row_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
