@@ -1,35 +1,78 @@
-"""Connected components of an edge list by alternating large-star and small-star steps, each a few joins and groupings."""
+"""Connected components of an edge list by contraction.
+
+Each round deals the edges evenly over tasks, whatever their nodes. A task joins chunks of its edges by union-find over
+arrays and names for each node of a chunk the smallest node that it reaches there, its root. A node that is no chunk's root
+is settled: it hangs on the smallest of its roots. The other roots of a node are connected with its smallest one, and these
+edges are the next round's. A node has at most one root a chunk, so no group grows with a node's edges; the largest node of
+any edge list is never a root, so each round has fewer nodes. Labels then go back down, from the last round to the first.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import cut
 
+#: Edges that a task joins at once, which bounds its arrays (some 100 MB).
+CHUNK = 1 << 20
+
+
+def smallest_reached(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n nodes the smallest node that edges a-b connect it with."""
+    label = np.arange(n)
+    while True:
+        x, y = label[a], label[b]
+        if (x == y).all():
+            return label
+        low = np.minimum(x, y)
+        np.minimum.at(label, x, low)
+        np.minimum.at(label, y, low)
+        while (label[label] != label).any():
+            label = label[label]
+
+
+def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(u, v) to (x, root) for each node of a chunk; roots name themselves."""
+
+    def joined(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        ends = [np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in held]) for i in (0, 1)]
+        nodes, place = np.unique(np.concatenate(ends), return_inverse=True)
+        label = smallest_reached(len(nodes), *np.split(place, 2))
+        return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label])], ["x", "root"])
 
-def _least(pairs: DataFrame) -> DataFrame:
-    """For each u the smallest of u and its neighbours."""
-    return pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= CHUNK:
+            yield joined(held)
+            held, n = [], 0
+    if n:
+        yield joined(held)
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """edges: u, v of one orderable type, no nulls. Result: u and component, the smallest node of its component; nodes without an edge are absent.
+    """edges: u, v (long). Result: u and component, the smallest node of u's component, for every node but those smallest ones.
 
-    A node with very many edges is grouped by partial aggregation, and its edges meet its minimum in a plain join whose
-    hot partitions adaptive execution splits.
+    Edges with a null end and edges of a node with itself connect nothing; edges may repeat. Without edges the result is empty.
     """
-    now = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = None
+    now, settled = edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v"), []
     for _ in range(most_rounds):
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == before:
-            return now.select("u", F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("u"), F.col("v").alias("component")).distinct())
-        before = mark
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.where("v > u").join(cut(_least(both)).hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = cut(large.where("u <> v").distinct())
-        least = _least(large)  # all edges point from larger to smaller here, so no u has many
-        small = large.join(least.hint("merge"), "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        now = cut(small.where("u <> v").distinct())
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+        rooted = now.repartition("u", "v").mapInArrow(_roots, "x long, root long")
+        grouped = cut(rooted.groupBy("x").agg(F.collect_set("root").alias("roots")))
+        settled.append(grouped.where(~F.array_contains("roots", F.col("x"))).select(F.col("x").alias("u"), F.array_min("roots").alias("component")))
+        now = grouped.where(F.size("roots") > 1).select(F.explode("roots").alias("u"), F.array_min("roots").alias("v")).where("u <> v")
+        if now.isEmpty():
+            break
+    else:
+        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+    labels = settled.pop()
+    while settled:
+        below, above = settled.pop(), cut(labels).select(F.col("u").alias("up"), F.col("component").alias("top"))
+        labels = below.join(above.hint("merge"), below["component"] == above["up"], "left").select("u", F.coalesce("top", "component").alias("component")).unionByName(labels)
+    return labels

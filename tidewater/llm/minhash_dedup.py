@@ -25,6 +25,7 @@ Other columns are not read; survivors() returns exactly the input's columns.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -109,7 +110,7 @@ def _sketch(words: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
+            for part in slices(batch, "text", 1 << 18):
                 sets = shingle_sets(*text_bytes(part.column(2)), words)
                 columns = [
                     pa.array([len(s) for s in sets], pa.int64()),
@@ -122,31 +123,24 @@ def _sketch(words: int):
 
 
 def _sets(words: int):
-    """(c, buckets, text) to c, buckets, the set itself and its packed signature."""
+    """(c, buckets, text) to c, buckets, the set itself and its packed signature; of rows that repeat c one after another, the first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = -1
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
+            c = batch.column(0).to_numpy(zero_copy_only=False)
+            batch = batch.filter(pa.array(np.diff(c, prepend=last) != 0))
+            last = c[-1] if len(c) else last
+            for part in slices(batch, "text", 1 << 18):
                 sets = shingle_sets(*text_bytes(part.column(2)), words)
-                columns = [pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([packed(minima(s)) for s in sets], pa.list_(pa.int64()))]
+                ends = np.cumsum([0, *(len(s) for s in sets)])
+                held = pa.LargeListArray.from_arrays(ends, np.concatenate(sets).view(np.int64)).cast(pa.list_(pa.int64()))
+                columns = [held, pa.array([packed(minima(s)) for s in sets], pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], ["c", "buckets", "shingles", "sig"])
 
     return run
 
 
-def _confirmed(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = []
-            for a, b in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
-
-    return run
-
-
 def similarity(a: str, b: str) -> Column:
     """Collision-corrected estimate from two columns that hold packed signatures."""
     apart = None
@@ -180,37 +174,50 @@ def may_be_alike(a: str, b: str, percent: int) -> Column:
     return (100 * F.least(x, y) >= percent * F.greatest(x, y)) & (similarity(a, b) >= percent / 100 - slack(percent))
 
 
-def links(classes: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:
-    """Class pairs (u, v) that are confirmed and connect all there is to connect. classes: c (long), key, buckets; texts: key, text."""
+def linked(classes: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:
+    """Components of the classes: c and component, a class of c's component; classes that stay as they are may be absent.
+
+    classes: c (long), key, buckets; texts: key, text.
+    """
     spread = classes.select("c", F.explode("buckets").alias("bucket"))
     # half of each bucket key, two to a long: enough to tell which bucket is the first that two classes share
     marks = F.struct(*[F.shiftleft(F.shiftright(F.col("buckets")[2 * k], 32), 32).bitwiseOR(F.shiftrightunsigned(F.col("buckets")[2 * k + 1], 32)).alias(f"m{k}") for k in range(BANDS // 2)]).alias("marks")
     meeting = cut(spread.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"))
-    met = cut(spread.join(meeting.hint("merge"), "bucket"))
+    # a class has BANDS buckets, so its list is short
+    shared = spread.join(meeting.hint("merge"), "bucket").groupBy("c").agg(F.sum("size").alias("company"), F.collect_list("bucket").alias("own"))
+    shared = cut(shared.join(classes.select("c", "key", "buckets").hint("merge"), "c"))
     # the class that meets the most others, as an original does among its variants, is its buckets' hub
-    company = met.groupBy("c").agg(F.sum("size").alias("company"))
-    hubs = met.join(company.hint("merge"), "c").groupBy("bucket").agg(F.max(F.struct("company", "c")).alias("hub"))
-    members = cut(met.select("bucket", "c").join(hubs.select("bucket", F.col("hub.c").alias("hub")).hint("merge"), "bucket"))
-    involved = members.select("c").distinct().join(classes.select("c", "key", "buckets").hint("merge"), "c")
-    sets = cut(texts.join(involved.hint("merge"), "key").select("c", "buckets", "text").mapInArrow(_sets(words), "c long, buckets array<long>, shingles binary, sig array<long>").dropDuplicates(["c"]))
-    signed = sets.select("c", F.struct(*[F.col("sig")[k].alias(f"s{k}") for k in range(LONGS)], F.octet_length("shingles").alias("size")).alias("sig"), marks)
+    members = shared.select("c", "company", F.explode("own").alias("bucket"))
+    hubs = cut(members.groupBy("bucket").agg(F.max(F.struct("company", "c")).alias("hub")).select("bucket", F.col("hub.c").alias("hub")))
+    stars = members.join(hubs.hint("merge"), "bucket").where("c <> hub").select(F.greatest("c", "hub").alias("u"), F.least("c", "hub").alias("v")).distinct()
+    found = texts.join(shared.select("c", "key", "buckets").hint("merge"), "key").select("c", "buckets", "text")
+    sets = cut(found.mapInArrow(_sets(words), "c long, buckets array<long>, shingles array<long>, sig array<long>"))
+    signed = sets.select("c", F.struct(*[F.col("sig")[k].alias(f"s{k}") for k in range(LONGS)], F.size("shingles").alias("size")).alias("sig"), marks)
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        left = pairs.join(sets.select(F.col("c").alias("u"), F.col("shingles").alias("x")).hint("merge"), "u")
-        full = left.join(sets.select(F.col("c").alias("v"), F.col("shingles").alias("y")).hint("merge"), "v").select("u", "v", "x", "y")
-        return cut(full.mapInArrow(_confirmed(percent), "u long, v long"))
+        full = pairs.join(sets.select(F.col("c").alias("u"), F.col("shingles").alias("x")).hint("merge"), "u").join(sets.select(F.col("c").alias("v"), F.col("shingles").alias("y")).hint("merge"), "v")
+        both = F.size(F.array_intersect("x", "y"))
+        return full.where((100 + percent) * both >= percent * (F.size("x") + F.size("y"))).drop("x", "y")
 
-    stars = members.select(F.col("c").alias("u"), F.col("hub").alias("v")).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     rated = stars.join(signed.select(F.col("c").alias("u"), F.col("sig").alias("a")).hint("merge"), "u").join(signed.select(F.col("c").alias("v"), F.col("sig").alias("b")).hint("merge"), "v")
-    first = confirm(rated.where(may_be_alike("a", "b", percent)).select("u", "v"))
-    joined = cut(components(first)).withColumnRenamed("u", "c").withColumnRenamed("component", "part")
-    placed = cut(members.select("c", "bucket").join(joined.hint("merge"), "c", "left").select("c", "bucket", F.coalesce("part", "c").alias("part")))
+    parts = cut(components(confirm(rated.where(may_be_alike("a", "b", percent)).select("u", "v"))))
+    placed = shared.select("c", "own").join(parts.select(F.col("u").alias("c"), F.col("component").alias("part")).hint("merge"), "c", "left").select("c", F.coalesce("part", "c").alias("part"), F.explode("own").alias("bucket"))
     mixed = cut(placed.groupBy("bucket").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("bucket"))
-    left = cut(placed.join(mixed.hint("merge"), "bucket").join(signed.hint("merge"), "c"))
-    a, b = (left.select("bucket", *[F.col(c).alias(c + n) for c in ("c", "part", "sig", "marks")]) for n in "ab")
-    alike = (F.col("bucket") == F.col("other")) & (F.col("parta") < F.col("partb")) & may_be_alike("siga", "sigb", percent) & (F.shiftright("bucket", 32) == first_shared("marksa", "marksb"))
-    across = a.hint("merge").join(b.withColumnRenamed("bucket", "other"), alike)
-    return first.unionByName(confirm(across.select(F.col("ca").alias("u"), F.col("cb").alias("v")).distinct()))
+    if mixed.isEmpty():
+        return parts.select(F.col("u").alias("c"), "component")
+    # sets of bands that aren't neighbours differ too much in size
+    band = F.floor(F.log(F.col("sig.size").cast("double")) / -math.log(percent / 100) * (1 - 1e-9)) if percent < 100 else F.col("sig.size").cast("long")
+    left = cut(placed.join(mixed.hint("merge"), "bucket").join(signed.hint("merge"), "c").withColumn("band", band))
+    a = left.select("bucket", "band", *[F.col(c).alias(c + "a") for c in ("c", "part", "sig", "marks")])
+    b = left.select(F.col("bucket").alias("other"), F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)])).alias("near"), *[F.col(c).alias(c + "b") for c in ("c", "part", "sig", "marks")])
+    alike = (F.col("bucket") == F.col("other")) & (F.col("band") == F.col("near")) & (F.col("parta") < F.col("partb")) & may_be_alike("siga", "sigb", percent) & (F.shiftright("bucket", 32) == first_shared("marksa", "marksb"))
+    across = cut(a.hint("merge").join(b, alike).select(F.col("ca").alias("u"), F.col("cb").alias("v"), "parta", "partb").distinct())
+    if across.isEmpty():
+        return parts.select(F.col("u").alias("c"), "component")
+    joined = cut(components(confirm(across).select(F.col("parta").alias("u"), F.col("partb").alias("v")))).withColumnRenamed("component", "whole").withColumnRenamed("u", "part")
+    whole = parts.select(F.col("u").alias("c"), F.col("component").alias("part")).join(joined.hint("merge"), "part", "left").select("c", F.coalesce("whole", "part").alias("component"))
+    # a part's own smallest class isn't among parts
+    return whole.unionByName(joined.select(F.col("part").alias("c"), F.col("whole").alias("component")))
 
 
 def _parts(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -219,15 +226,16 @@ def _parts(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int
     sketch = cut(keyed.mapInArrow(_sketch(words), "id long, key binary, n long, set binary, buckets array<long>"))
     by_set = sketch.where("set is not null").groupBy("set").agg(F.min("id").alias("id"), F.min(F.struct("key", "buckets")).alias("own"))
     classes = cut(by_set.select(F.monotonically_increasing_id().alias("c"), "set", "id", "own.key", "own.buckets"))
-    found = components(links(classes, keyed.select("key", "text"), percent, words))
-    return sketch, classes.select("set", "c", "id").join(found.withColumnRenamed("u", "c").hint("merge"), "c", "left").select("set", "id", F.coalesce("component", "c").alias("part"))
+    found = linked(classes, keyed.select("key", "text"), percent, words)
+    return sketch, classes.select("set", "c", "id").join(found.hint("merge"), "c", "left").select("set", "id", F.coalesce("component", "c").alias("part"))
 
 
 def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """One row per row: id, n_shingles, component_id, kept, and row_key, the binary key of id and text."""
     sketch, part = _parts(docs, id_col, text_col, words, percent)
-    least = part.groupBy("part").agg(F.min("id").alias("component_id"))
-    named = cut(part.select("set", "part").join(cut(least).hint("merge"), "part").select("set", "component_id"))
+    part = cut(part)
+    least = cut(part.groupBy("part").agg(F.min("id").alias("component_id")))
+    named = part.select("set", "part").join(least.hint("merge"), "part").select("set", "component_id")
     rows = sketch.select("id", "key", "n", "set").join(named.hint("merge"), "set", "left")
     component = F.when(F.col("set").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"), F.col("key").alias("row_key"))
