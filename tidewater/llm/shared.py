@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -17,9 +18,11 @@ SLICE_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where that is unset (tests), one of our own."""
+    """The folder that the cluster names in spark.checkpoint.dir; where that is unset, one of our own in local mode, an error on a cluster."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().getOrElse(None)
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="tidewater-")
         spark.sparkContext.setCheckpointDir(at)
     elif spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
