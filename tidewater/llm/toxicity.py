@@ -1,7 +1,8 @@
 """Toxicity: a linear classifier over character n-grams whose features are scaled by naive Bayes log-count ratios.
 
 Presence of hashed 3- to 5-grams of the lower-cased, space-folded text; each n-gram's value is its log-count ratio
-between toxic and clean training rows, a logistic regression over the strongest of them gives the weights.
+between toxic and clean training rows, less DOUBT standard errors of that ratio. All n-grams take part whose ratio the
+counts bear out at all (what is left is not zero), however many those are; a logistic regression over them gives the weights.
 
 fit() reads labelled rows only, of them a sample bounded by `per_class` rows of each class in expectation; counts,
 selection and fit all use that sample. score() reads every whole text and needs no shuffle.
@@ -29,8 +30,9 @@ BITS = 18
 SIZES = (3, 4, 5)
 #: Bound of the training sample: so many rows of each class in expectation.
 PER_CLASS = 4000
-FEATURES = 1500
 SMOOTH = 1.0
+#: Standard errors by which a log-count ratio is drawn towards zero.
+DOUBT = 2.0
 
 
 def hashes(text: str | None) -> np.ndarray:
@@ -82,7 +84,7 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"gram": at.astype(np.int32), "clean": seen[0, at], "toxic": seen[1, at]})
 
 
-def _logistic(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, balance: np.ndarray, rounds: int = 250, decay: float = 5e-4) -> tuple[np.ndarray, float]:
+def _logistic(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, balance: np.ndarray, rounds: int = 100, decay: float = 5e-4) -> tuple[np.ndarray, float]:
     """Weights over ratio-scaled presence features, by full-batch Adam."""
     lengths = np.array([len(r) for r in rows])
     at, row = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64), np.repeat(np.arange(len(rows)), lengths)
@@ -98,7 +100,7 @@ def _logistic(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, balance:
     return w * ratio, b
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS, features: int = FEATURES) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS) -> Model:
     """learn_from: a condition on the labels' id; only such rows are learned from."""
     marked = labels.where(learn_from).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("toxic")).where("id is not null and toxic in (0, 1)").groupBy("id").agg(F.max("toxic").alias("toxic"))
     totals = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -110,29 +112,29 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, id_col: str = "d
     sample = F.broadcast(marked.where(drawn < share))  # about 2 * per_class rows of two numbers
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).join(sample, "id").select("text", "toxic")
     counts = rows.mapInPandas(_count, "gram int, clean long, toxic long").groupBy("gram").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    # rates over n-gram presences; the totals take one pass of the same rows as the selection
+    # rates over n-gram presences
     p, q = F.col("toxic") + SMOOTH, F.col("clean") + SMOOTH
     total = counts.agg(F.sum("toxic"), F.sum("clean")).first()
     if not total[0] or not total[1]:
         return Model(none, float(np.log(totals[1] / totals[0])))
-    ratio = F.log(p / total[0]) - F.log(q / total[1])
-    chosen = counts.where("clean + toxic >= 3").withColumn("ratio", ratio).orderBy(F.desc(F.abs("ratio") / F.sqrt(1 / p + 1 / q)), "gram").limit(features).select("gram", "ratio").toPandas()
+    ratio, doubt = F.log(p / total[0]) - F.log(q / total[1]), DOUBT * F.sqrt(1 / p + 1 / q)
+    borne = counts.select("gram", (F.signum(ratio) * F.greatest(F.abs(ratio) - doubt, F.lit(0.0))).alias("ratio")).where("ratio <> 0").orderBy("gram").toPandas()  # 2 ** BITS rows at most
     place = np.full(1 << BITS, -1, np.int64)
-    place[chosen["gram"].to_numpy()] = np.arange(len(chosen))
+    place[borne["gram"].to_numpy()] = np.arange(len(borne))
 
     def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [place[among(t, place >= 0)] for t in batch["text"]]
-            yield pd.DataFrame({"at": [f.astype(np.int16 if features <= 32767 else np.int32).tobytes() for f in found], "toxic": batch["toxic"]})
+            yield pd.DataFrame({"at": [f.astype(np.int32).tobytes() for f in found], "toxic": batch["toxic"]})
 
     held = rows.mapInPandas(pick, "at binary, toxic int").toPandas()
     y = held["toxic"].to_numpy(np.float64)
     if not 0 < y.sum() < len(y):
         return Model(none, float(np.log(totals[1] / totals[0])))
     prior = {k: totals[k] / (totals[0] + totals[1]) / (y == k).mean() for k in (0, 1)}  # undoes unequal sampling of the classes
-    w, b = _logistic([np.frombuffer(x, np.int16 if features <= 32767 else np.int32) for x in held["at"]], y, chosen["ratio"].to_numpy(np.float64), np.where(y == 1, prior[1], prior[0]))
+    w, b = _logistic([np.frombuffer(x, np.int32) for x in held["at"]], y, borne["ratio"].to_numpy(np.float64), np.where(y == 1, prior[1], prior[0]))
     weights = none.copy()
-    weights[chosen["gram"].to_numpy()] = w
+    weights[borne["gram"].to_numpy()] = w
     return Model(weights, float(b))
 
 
