@@ -1,4 +1,7 @@
-"""The operators' queries over the synthetic tables, with production parameters, and SQL where it can express them."""
+"""The operators' queries over the synthetic tables, with production parameters, and SQL where it can express them.
+
+A row with a null doc_id is in no fold: it isn't learned from and held_out is false.
+"""
 
 from __future__ import annotations
 
@@ -39,7 +42,7 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = toxicity.score(docs, toxicity_model(docs, table(spark, sf_dir, "labels")))
-    return scored.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +76,7 @@ def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.fit(docs, fold("doc_id", 4) != 2)
-    return language_id.predict(docs, model).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+    return language_id.predict(docs, model).select("doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
