@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Hexadecimal digits of a digest that the join uses.
 SHORT = 8
+#: Between host and path in what is digested: no host holds it.
+APART = "/"
 #: Rules up to this count (under 50 MB) are broadcast; more are joined by a shuffle, whose hot keys adaptive execution splits.
 BROADCAST_RULES = 200_000
 
@@ -40,16 +42,16 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     """One row per page: id, host, path, rule (null where none fits), verdict."""
     host, path = host_and_path(F.coalesce(F.col(f"`{url_col}`"), F.lit("")))
     urls = pages.select(F.col(f"`{id_col}`").alias("id"), host.alias("host"), path.alias("path"))
-    clean = rules.select("action", F.translate("host", UPPER, LOWER).alias("r_host"), F.col("path").alias("r_path")).where("action is not null and r_host <> '' and r_path is not null")
+    clean = rules.select("action", F.translate("host", UPPER, LOWER).alias("r_host"), F.col("path").alias("r_path")).where("action is not null and r_host <> '' and (r_path = '' or startswith(r_path, '/'))")
     labels = lambda c: F.length(c) - F.length(F.replace(c, F.lit("."))) + 1
     shape = clean.agg(F.count("*"), F.collect_set(labels(F.col("r_host"))), F.collect_set(F.length("r_path"))).first()
     counts, lengths = sorted(shape[1]), sorted(shape[2])
     suffixes = F.filter(F.array(*[F.when(labels(F.col("host")) >= n, F.substring_index("host", ".", -n)) for n in counts]), lambda s: s != "") if counts else F.array().cast("array<string>")
     prefixes = F.filter(F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths]), lambda s: s.isNotNull()) if lengths else F.array().cast("array<string>")
-    parts = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p))))
+    parts = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, F.lit(APART), p))))
     spread = urls.select("id", "host", "path", F.posexplode_outer(parts).alias("i", "part")).withColumn("digest", F.sha2("part", 256)).withColumn("short", F.substring("digest", 1, SHORT))
     rank = F.struct(F.length("r_host") + F.length("r_path"), F.length("r_host"), F.col("action"), F.concat("r_host", "r_path").alias("rule"))
-    digest = F.sha2(F.concat("r_host", "r_path"), 256)
+    digest = F.sha2(F.concat(F.col("r_host"), F.lit(APART), F.col("r_path")), 256)
     listed = clean.distinct().select(F.substring(digest, 1, SHORT).alias("short"), F.struct(digest.alias("digest"), rank.alias("rank")).alias("r")).groupBy("short").agg(F.collect_list("r").alias("sharing"))
     listed = F.broadcast(listed) if shape[0] <= BROADCAST_RULES else listed.hint("merge")
     confirmed = F.array_max(F.transform(F.filter("sharing", lambda r: r["digest"] == F.col("digest")), lambda r: r["rank"]))
