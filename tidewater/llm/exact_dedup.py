@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, row_key, text_or_empty
+from .shared import cut, free, row_key, text_or_empty
 
 #: Counters of a Misra-Gries summary; what is broadcast is at most so many rows of about 60 bytes.
 COUNTERS = 1024
@@ -67,6 +67,7 @@ def survivors(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", cou
     """The input's rows without later copies: one row of each distinct text, with all columns of the input."""
     kept = decide(df, id_col, text_col, counters=counters).where("kept").select(id_col, "text_sha256").distinct()
     ident = F.concat(F.coalesce(F.concat(F.lit("="), F.col("id").cast("string")), F.lit("~")), F.lit("|"), F.col("sha"))
-    keys = kept.toDF("id", "sha").select(ident.alias("__row_key"))
+    name = free("__row_key", df.columns)
+    keys = kept.toDF("id", "sha").select(ident.alias(name))
     own = F.concat(F.coalesce(F.concat(F.lit("="), F.col(f"`{id_col}`").cast("string")), F.lit("~")), F.lit("|"), F.sha2(text_or_empty(text_col), 256))
-    return df.withColumn("__row_key", own).join(keys, "__row_key", "left_semi").dropDuplicates(["__row_key"]).select(*[F.col(f"`{c}`") for c in df.columns])
+    return df.withColumn(name, own).join(keys, name, "left_semi").dropDuplicates([name]).select(*[F.col(f"`{c}`") for c in df.columns])

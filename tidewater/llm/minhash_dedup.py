@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import cut, mix64, row_key, slices, text_bytes, text_or_empty
+from .shared import cut, free, mix64, row_key, slices, text_bytes, text_or_empty
 
 MINIMA, ROWS, BANDS, LOW_BITS = 2048, 6, 40, 1
 LONGS = MINIMA * LOW_BITS // 64
@@ -246,6 +246,7 @@ def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     sketch, part = _parts(docs, id_col, text_col, words, percent)
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first")
     firsts = sketch.where("set is not null").groupBy("set").agg(first)
-    one = part.select("set", "part").join(firsts.hint("merge"), "set").groupBy("part").agg(F.min("first").alias("first")).select(F.col("first.key").alias("__row_key"))
-    kept = one.unionByName(sketch.where("set is null").select(F.col("key").alias("__row_key")).distinct())
-    return docs.withColumn("__row_key", row_key(id_col, text_col)).join(kept, "__row_key", "left_semi").dropDuplicates(["__row_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    own = free("__row_key", docs.columns)
+    one = part.select("set", "part").join(firsts.hint("merge"), "set").groupBy("part").agg(F.min("first").alias("first")).select(F.col("first.key").alias(own))
+    kept = one.unionByName(sketch.where("set is null").select(F.col("key").alias(own)).distinct())
+    return docs.withColumn(own, row_key(id_col, text_col)).join(kept, own, "left_semi").dropDuplicates([own]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -13,7 +13,7 @@ joins rows that the numbering has dealt and sorted by cell already, so they move
 
 Defined results: sources without a weight and null sources are one pool of weight `other`. Null ids count as the empty
 string in md5; rows with equal ids follow each other in the order of their texts' digests, equal rows in any order.
-An empty table gives an empty result. arrange() carries all columns of the input.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ import heapq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import free
+
 CELLS = 4096
 MOST_SLOTS = 1 << 16
 POOL = "*"
@@ -57,24 +59,27 @@ def arrange(docs: DataFrame, weights: dict[str, int], other: int = 1, block_size
     ident = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))
     group = F.when(F.col(f"`{source_col}`").isin(list(weights)), F.col(f"`{source_col}`")).otherwise(F.lit(POOL))
     cell = F.conv(F.substring(F.md5(ident), 1, 3), 16, 10).cast("int")
-    rows = docs.withColumns({"__group": group, "__cell": cell, "__order": F.md5(ident)})
-    counts = rows.groupBy("__group", "__cell").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("__group").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("__group", "__cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))  # (weights + 1) * CELLS rows at most
-    inside = Window.partitionBy("__group", "__cell").orderBy("__order", F.col(f"`{id_col}`"), F.md5(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))))
-    numbered = rows.withColumn("__n", F.row_number().over(inside)).join(starts.hint("merge"), ["__group", "__cell"])
+    group_, cell_, order_, n_, start_ = (free(c, docs.columns) for c in ("__group", "__cell", "__order", "__n", "__start"))
+    rows = docs.withColumns({group_: group, cell_: cell, order_: F.md5(ident)})
+    counts = rows.groupBy(group_, cell_).agg(F.count("*").alias(n_))
+    before = Window.partitionBy(group_).orderBy(cell_).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(group_, cell_, F.coalesce(F.sum(n_).over(before), F.lit(0)).alias(start_))  # (weights + 1) * CELLS rows at most
+    inside = Window.partitionBy(group_, cell_).orderBy(order_, F.col(f"`{id_col}`"), F.md5(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))))
+    numbered = rows.withColumn(n_, F.row_number().over(inside)).join(starts.hint("merge"), [group_, cell_])
     table = F.create_map(*[x for s in sorted(slots) for x in (F.lit(s), F.array(*[F.lit(t) for t in slots[s]]))])
     share = F.create_map(*[x for s in sorted(shares) for x in (F.lit(s), F.lit(shares[s]))])
-    number = F.col("__start") + F.col("__n") - 1
+    number = F.col(start_) + F.col(n_) - 1
     block = F.floor(number / block_size)
-    w = share[F.col("__group")]
-    slot = F.floor(block / w) * total + F.get(table[F.col("__group")], F.pmod(block, w).cast("int"))
-    return numbered.select(*[F.col(f"`{c}`") for c in docs.columns], block.alias(f"{prefix}block"), slot.alias(f"{prefix}slot"), F.pmod(number, F.lit(block_size)).alias(f"{prefix}place"))
+    w = share[F.col(group_)]
+    slot = F.floor(block / w) * total + F.get(table[F.col(group_)], F.pmod(block, w).cast("int"))
+    made = {"block": block, "slot": slot, "place": F.pmod(number, F.lit(block_size))}
+    return numbered.select(*[F.col(f"`{c}`") for c in docs.columns], *[v.alias(free(prefix + k, docs.columns)) for k, v in made.items()])
 
 
 def in_order(docs: DataFrame, weights: dict[str, int], other: int = 1, block_size: int = 64, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """The input's rows and columns, range-partitioned and sorted so that files written from them follow the schedule."""
     placed = arrange(docs, weights, other, block_size, id_col, source_col, text_col, prefix="__mix_")
+    by = [free("__mix_slot", docs.columns), free("__mix_place", docs.columns)]
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = placed.repartitionByRange(n, "__mix_slot", "__mix_place").sortWithinPartitions("__mix_slot", "__mix_place")
+    ordered = placed.repartitionByRange(n, *by).sortWithinPartitions(*by)
     return ordered.select(*[F.col(f"`{c}`") for c in docs.columns])

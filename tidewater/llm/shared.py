@@ -57,6 +57,14 @@ def row_key(id_col: str, text_col: str) -> Column:
     return F.unhex(F.md5(F.concat(F.coalesce(F.concat(F.lit("="), F.col(f"`{id_col}`").cast("string")), F.lit("~")), F.lit("|"), text_or_empty(text_col))))
 
 
+def free(name: str, taken: list[str]) -> str:
+    """name, with as many underscores in front as make it differ from all taken names (in any case)."""
+    used = {t.lower() for t in taken}
+    while name.lower() in used:
+        name = f"_{name}"
+    return name
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of about `most` bytes of one text column; one text is never divided."""
     n = batch.num_rows
