@@ -90,6 +90,10 @@ def parse(data: bytes) -> dict:
     return {"page_id": number("WARC-Record-ID"), "url": fields.get("WARC-Target-URI"), "record_type": fields["WARC-Type"], "payload_digest": fields["WARC-Payload-Digest"].removeprefix("sha1:"), "payload_bytes": size, "refers_to": number("WARC-Refers-To") if revisit else None, "payload": None if revisit else payload}
 
 
+#: Index rows of a range of the merge on average, which bounds what one task holds.
+RANGE_ROWS = 1 << 19
+
+
 def _writer(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = open_folder(folder)
@@ -176,7 +180,7 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", paylo
     revisits = marks.where(F.col("n") >= least).join(groups.hint("merge"), "sha").where("not page_id <=> refers_to").select("key", "refers_to", F.lit(True).alias("revisit")).dropDuplicates(["key"])
     settled = rows.join(revisits.hint("merge"), "key", "left").select("page_id", "url", "ts", "payload", "refers_to", F.coalesce("revisit", F.lit(False)).alias("revisit"))
     runs = cut(settled.mapInArrow(_writer(folder), INDEX))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-runs.count() // RANGE_ROWS))
     ranged = runs.repartitionByRange(n, "url_key", "ts", F.col("page_id").asc_nulls_first(), "run", "seq").sortWithinPartitions("run", "seq")
     return Archive(folder, cut(ranged.mapInArrow(_merged, INDEX)))
 
