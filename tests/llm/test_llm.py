@@ -9,7 +9,7 @@ import pytest
 from compare import assert_same
 from pyspark.sql import functions as F
 
-from tidewater.llm import bpe_chunks, exact_dedup, language_id, minhash_dedup, mixing, queries, token_files, topk_search, toxicity, url_filter, warc
+from tidewater.llm import bpe_chunks, components, exact_dedup, language_id, minhash_dedup, mixing, queries, token_files, topk_search, toxicity, url_filter, warc
 from tidewater.llm.bpe_words import default_path, encoder
 
 SMALL, MID = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -175,12 +175,120 @@ def test_search_block_proof():
     rng = np.random.default_rng(5)
     v, ids = rng.integers(-300, 300, (700, 16)), np.arange(700)
     v[:5] *= 50
-    q_at, v_at, score = topk_search.search_block(ids[:40], v[:40], ids, v, 9, np.full(40, -(1 << 62)))
+    block = topk_search.build(ids, v)
+    assert block.ends[-1] == len(block.postings) == (v != 0).sum()
+    q_at, v_at, score, read = topk_search.search_block(ids[:40], v[:40], block, 9, np.full(40, -(1 << 62)))
+    assert 0 < read <= len(block.postings)
     for i in range(40):
         want = sorted(((-int(v[i] @ v[j]), j) for j in range(700) if j != i))[:9]
         assert [(-int(s), int(j)) for a, j, s in zip(q_at, v_at, score) if a == i] == want
 
 
+def test_search_reads_fewer_postings_than_it_holds():
+    """Impacts as they fall off in practice: few large, many small; most postings stay unread, results are those of all."""
+    rng = np.random.default_rng(6)
+    v, ids = np.rint(rng.standard_normal((900, 48)) * 2).astype(np.int64), np.arange(900)
+    v[np.arange(900), rng.integers(0, 48, 900)] = rng.integers(200, 4000, 900)
+    block = topk_search.build(ids, v)
+    q_at, v_at, score, read = topk_search.search_block(ids[:20], v[:20], block, 5, np.full(20, -(1 << 62)))
+    assert read < 0.5 * len(block.postings)
+    for i in range(20):
+        want = sorted((-int(v[i] @ v[j]), j) for j in range(900) if j != i)[:5]
+        assert [(-int(s), int(j)) for a, j, s in zip(q_at, v_at, score) if a == i] == want
+    assert topk_search.search_block(ids[:20], v[:20], block, 5, np.full(20, 1 << 40))[3] == 0
+
+
+def test_topk_over_several_blocks_with_ties(spark, monkeypatch):
+    monkeypatch.setattr(topk_search, "CANDIDATE_ROWS", 7)
+    monkeypatch.setattr(topk_search, "QUERY_ROWS", 2)
+    rng = np.random.default_rng(8)
+    v = rng.integers(-2, 3, (60, 4))
+    v[30:] = v[:30]
+    df = spark.createDataFrame([(i, [float(x) for x in r], i, "x") for i, r in enumerate(v)], "vec_id long, embedding array<double>, score long, block string")
+    got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in topk_search.search(df, F.col("vec_id") % 5 == 0, k=6).collect()]
+    want = [(q, n + 1, j, -s) for q in range(0, 60, 5) for n, (s, j) in enumerate(sorted((-int(64 * 64 * (v[q] @ v[j])), j) for j in range(60) if j != q)[:6])]
+    assert sorted(got) == sorted(want)
+
+
+def test_components(spark):
+    rng = np.random.default_rng(4)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))] + [(1000, i) for i in range(500, 700)] + [(i, i + 1) for i in range(2000, 2200)] + [(3, 3), (None, 5), (5, None)]
+    parent = list(range(3000))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and b is not None:
+            lo, hi = sorted((find(a), find(b)))
+            parent[hi] = lo
+    nodes = {x for e in edges if None not in e for x in e}
+    df = spark.createDataFrame(edges + edges[:50], "u long, v long")
+    got = [(r.u, r.component) for r in components.components(df).collect()]
+    assert sorted(got) == sorted((x, find(x)) for x in nodes if find(x) != x)
+    components.CHUNK, before = 7, components.CHUNK
+    assert sorted((r.u, r.component) for r in components.components(df.coalesce(1)).collect()) == sorted(got)
+    components.CHUNK = before
+    assert components.components(df.limit(0)).count() == 0
+
+
+def test_bpe_with_another_tokenizer(spark):
+    path = default_path().replace("word_bpe_49k", "byte_bpe_50k")
+    enc, rng = encoder(path), np.random.default_rng(2)
+    texts = [" ".join(f"w{x} é" for x in rng.integers(0, 500, n)) for n in (0, 3, 4000, 9000)]
+    texts.append(texts[2] + "  \n" + texts[2])
+    got = {r.doc_id: (r.n_tokens, bytes(r.ids), r.decoded) for r in bpe_chunks.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path=path, output=("n_tokens", "ids", "decoded")).collect()}
+    want = [enc.exactly([t])[0] for t in texts]
+    assert got == {i: (len(w), np.array(w, "<u4").tobytes(), enc.tokenizer.decode(w, skip_special_tokens=False)) for i, w in enumerate(want)}
+
+
+def test_url_rules_that_fit_nothing(spark):
+    rules = url_filter.rules_frame(spark, [("block", "org", "x"), ("allow", "net", ""), ("block", "", "/a"), ("block", None, "/a"), ("block", "com", None)])
+    pages = spark.createDataFrame([(1, "h://orgx/", "r"), (2, "h://a.net/x", "r"), (3, "h://com/a", "r"), (4, "h://" + "a." * 500 + "org/" + "x/" * 50_000, "r"), (5, "h://org", None)], "page_id long, url string, rule string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge(pages, rules, default="allow").collect()}
+    assert got == {1: (None, "allow"), 2: ("net", "allow"), 3: (None, "allow"), 4: (None, "allow"), 5: (None, "allow")}
+
+
+def test_mixing_against_a_plain_schedule(spark):
+    """Production weights: block, slot and place of every row against a schedule made source by source, and the one-block bound."""
+    docs = queries.table(spark, MID.replace("0.01", "0.1"), "documents").select("doc_id", "source", "text")
+    shares = {**queries.WEIGHTS, mixing.POOL: queries.OTHER_WEIGHT}
+    total, own = sum(shares.values()), {}
+    for r in docs.select("doc_id", "source").collect():
+        own.setdefault(r.source if r.source in queries.WEIGHTS else mixing.POOL, []).append(r.doc_id)
+    want, slots, blocks = {}, {}, max(len(x) for x in own.values()) // 4 + 1
+    due = sorted((-(-j * total // w), s, j) for s, w in shares.items() for j in range(1, min(blocks, 4 * w) + 1))
+    for t in range(4 * total):  # earliest deadline of the released blocks
+        pick = next(x for x in due if (x[2] - 1) * total // shares[x[1]] <= t)
+        due.remove(pick)
+        slots[pick[1], pick[2] - 1] = t
+    for s, ids in own.items():
+        for n, i in enumerate(sorted(ids, key=lambda i: (hashlib.md5(str(i).encode()).hexdigest(), i))):
+            want[i] = (n // 4, slots.get((s, n // 4)), n % 4)
+    got = {r.doc_id: (r.block, r.slot, r.place) for r in mixing.arrange(docs, queries.WEIGHTS, queries.OTHER_WEIGHT, 4).collect()}
+    assert len(got) == len(want) and all(got[i][0] == b and got[i][2] == p and (t is None or got[i][1] == t) for i, (b, t, p) in want.items())
+    assert sum(t is not None for _, t, _ in want.values()) > 1000
+
+
+def test_mixing_with_clashing_columns(spark, odd):
+    clash = odd.withColumns({"slot": F.lit(7), "__n": F.lit("n"), "__Cell": F.lit(None).cast("int")})
+    got = mixing.arrange(clash, {"src0": 2, "src3": 1}, block_size=2)
+    assert got.columns == [*clash.columns, "_block", "_slot", "place"] and got.where("slot = 7").count() == len(ROWS)
+    assert mixing.in_order(clash, {"src0": 2}).columns == clash.columns
+    assert minhash_dedup.survivors(odd.withColumn("__row_key", F.lit(1))).columns == [*odd.columns, "__row_key"]
+    assert exact_dedup.survivors(odd.withColumn("__row_key", F.lit(1))).columns == [*odd.columns, "__row_key"]
+
+
+def test_null_ids_are_held_out_of_nothing(spark, odd, tmp_path):
+    odd.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 0, 1), (2, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name in ("op3_toxicity", "op10_language_id"):
+        got = queries.queries()[name](spark, str(tmp_path)).collect()
+        assert len(got) == len(ROWS) and all(isinstance(r.held_out, bool) for r in got)
+
+
 def test_warc_edge_cases(spark):
     pages = spark.createDataFrame([(1, "http://x.org/a\nb", "same"), (2, None, "same"), (2, None, "same"), (None, "http://x.org/", "same"), (3, "http://b.org/?q#f", None), (4, "http://a.org", "é" * 50_000)], "page_id long, url string, html string")
     got = warc.read(warc.write(pages)).collect()
