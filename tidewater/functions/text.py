@@ -10,7 +10,7 @@ HAN = r"[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{323AF}]
 KANA = r"[\x{3040}-\x{30FF}\x{31F0}-\x{31FF}]"
 HANGUL = r"[\x{1100}-\x{11FF}\x{3130}-\x{318F}\x{AC00}-\x{D7AF}]"
 BRACKETED = r"[\[\(\{（【][^\[\]\(\)\{\}（）【】]+[\]\)\}）】]"
-CENSORED = r"\[\s*__\s*\]"
+CENSORED = r"(?i)\[\s*(?:\\h\s*)?_{2,}(?:\s*\\h)?\s*\]"
 # fixed values: function words on which an English fragment ends
 FRAGMENT_WORDS = "a an the for or and but to of with because if when which who whose is are was were has have had do does did my your our their"
 FRAGMENT_END = rf"(?i)\b(?:{'|'.join(FRAGMENT_WORDS.split())})\s*[,:;-]*$"
@@ -50,8 +50,62 @@ def strip_marks(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r">>+|\[[^\]]+\]", " "))
 
 
-def strip_censored(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(text, CENSORED, " "), r" {2,}", " "))
+# fixed values: labels of sounds, in or without brackets, and signs that stand for music
+SOUND = (
+    r"(?:music(?:\s+(?:is\s+)?playing)?|bgm|instrumental|background\s+music|intro\s+music|outro\s+music|upbeat\s+music|dramatic\s+music|music\s+and\s+singing"
+    r"|singing\s+and\s+music|singing|song|lyrics|chorus|verse|applause|sound\s+effects?|音乐|配乐|音效|掌声|歌声|音楽|拍手|笑|笑い|叫び声"
+    r"|음악|배경\s*음악|박수|웃음|노래|효과음|한숨|헉\s*소리|숨소리|기침|탄성|비명|환호|함성|콧방귀|비웃음|울음|신음|고함|외침|중얼거림|휘파람)"
+)
+MUSIC_SIGNS = r"[\x{2669}-\x{266C}\x{1F3B5}\x{1F3B6}]+"
+EDGE = r"\s.,;:!?，。；：！？"
+EMPTY_SIGNS = r"\x{2669}-\x{266C}\x{1F3B5}\x{1F3B6}\-_~—–…#<>"
+OTHER_SCRIPTS = r"[\x{4E00}-\x{9FFF}\x{3040}-\x{30FF}\x{AC00}-\x{D7AF}\x{0600}-\x{06FF}\x{0E00}-\x{0E7F}\x{0400}-\x{04FF}]"
+STAGE_JA = r"^\s*(?:\[\s*(?:音楽|拍手)\s*\]|[（(]\s*(?:音楽|拍手|笑)\s*[)）]|[♪♬]+)\s*$"
+
+
+def _lines(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), r"\r\n|\r|\n")
+
+
+def _squeezed(line: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(line, "[ \t]+", " "), r"^\s+|\s+$", "")
+
+
+def strip_sounds(text: Column) -> Column:
+    """Without bracketed sound labels and music signs; empty where a bare label is all there is."""
+    rest = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), rf"(?i)[\[\(\{{（【]\s*{SOUND}\s*[\]\)\}}）】]", " "), MUSIC_SIGNS, " ")
+    lines = F.transform(_lines(rest), lambda x: F.regexp_replace(_squeezed(x), r"\s+([,.;:!?。，！？；：])", "$1"))
+    kept = F.filter(lines, lambda x: F.regexp_replace(x, rf"[{EDGE}{EMPTY_SIGNS}]", "") != "")
+    return F.when(rest.rlike(rf"(?i)^\s*{SOUND}\s*[.!?,;:。！？]*\s*$"), "").otherwise(F.array_join(kept, "\n"))
+
+
+def has_other_script(text: Column) -> Column:
+    return F.coalesce(text, F.lit("")).rlike(OTHER_SCRIPTS)
+
+
+def without_other_scripts(text: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), OTHER_SCRIPTS, ""), r"^\s+|\s+$", "")
+
+
+def without_kana(text: Column) -> Column:
+    """Kana removed from lines that have any; lines of kana alone go."""
+    cleaned = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.when(x.rlike(KANA), F.nullif(F.regexp_replace(F.regexp_replace(x, KANA, ""), r"^\s+|\s+$", ""), F.lit(""))).otherwise(x))
+    return F.array_join(F.array_compact(cleaned), "\n")
+
+
+def japanese_source(text: Column) -> Column:
+    """Lines tidied, explicit stage cues and blank lines left out."""
+    return F.array_join(F.filter(F.transform(_lines(text), _squeezed), lambda x: (x != "") & ~x.rlike(STAGE_JA)), "\n")
+
+
+def without_censored(text: Column) -> Column:
+    """Placeholders of censored words removed line by line; emptied lines go."""
+    return F.array_join(F.filter(F.transform(_lines(text), lambda x: _squeezed(F.regexp_replace(x, CENSORED, " "))), lambda x: x != ""), "\n")
+
+
+def exact_marker(text: Column) -> Column:
+    """A whole row as a marker: lower case, single spaces, no punctuation at the ends."""
+    return F.regexp_replace(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), rf"^[{EDGE}]+|[{EDGE}]+$", "")), r"\s+", " ")
 
 
 def is_sfx_only(text: Column) -> Column:
@@ -85,11 +139,6 @@ def has_repeated_clause(text: Column, least_characters: int = 12, least_words: i
     return chars & F.when(n < 2, F.lit(True)).otherwise(echo)
 
 
-def numbers(text: Column) -> Column:
-    """Distinct digit strings, thousands separators removed, ascending."""
-    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(\d[\d,]*)")), lambda x: F.replace(x, F.lit(",")))))
-
-
 def is_spot_check(key: Column, percent: int, seed: str) -> Column:
     """A fixed share of keys by hash: the same key always gets the same answer."""
     return F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), key.cast("string")), 256), 1, 8), 16, 10).cast("long") % 100 < percent

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-STAMP = r"^(\d{2,}):([0-5]\d):([0-5]\d),(\d{3})$"
+STAMP = r"^(\d{2}):([0-5]\d):([0-5]\d),(\d{3})$"
 
 
 def stamp_to_ms(stamp: Column) -> Column:
@@ -21,9 +21,9 @@ def ms_to_stamp(ms: Column) -> Column:
 
 
 def vtt_to_stamp(value: Column) -> Column:
-    """`MM:SS.mmm` or `HH:MM:SS.mmm` as a strict stamp."""
+    """`MM:SS.mmm`, `H:MM:SS.mmm` or `HH:MM:SS.mmm` as `HH:MM:SS,mmm`."""
     dotted = F.replace(F.trim(value), F.lit("."), F.lit(","))
-    return F.when(F.size(F.split(dotted, ":")) == 2, F.concat(F.lit("00:"), dotted)).otherwise(dotted)
+    return F.when(F.size(F.split(dotted, ":")) == 2, F.concat(F.lit("00:"), dotted)).when(dotted.rlike("^[0-9]:"), F.concat(F.lit("0"), dotted)).otherwise(dotted)
 
 
 def overlap_ms(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:

@@ -41,6 +41,20 @@ def islands(df: DataFrame, gap_ms: int, by: str = "track") -> DataFrame:
     return df.withColumn("opens", opens).withColumn("island", F.sum("opens").over(before)).drop("opens")
 
 
+def gap_runs(df: DataFrame, gap_ms: int, by: str = "track") -> DataFrame:
+    """Numbers runs in the order of pos in which each interval starts at most gap_ms after the one before it ended: column island."""
+    before = Window.partitionBy(by).orderBy("pos")
+    opens = F.when(F.col("start_ms") - F.lag("end_ms").over(before) <= gap_ms, 0).otherwise(1)
+    return df.withColumn("opens", opens).withColumn("island", F.sum("opens").over(before)).drop("opens")
+
+
+def dominant_run(df: DataFrame, gap_ms: int = 2500) -> DataFrame:
+    """Each track's run of most cues, of several the shortest in time, then the first."""
+    runs = gap_runs(df, gap_ms).groupBy("track", "island").agg(F.count("*").alias("n"), (F.max_by("end_ms", "pos") - F.min_by("start_ms", "pos")).alias("span"))
+    best = runs.groupBy("track").agg(F.max(F.struct("n", (-F.col("span")).alias("s"), (-F.col("island")).alias("i"))).alias("b"))
+    return best.select("track", (-F.col("b.i")).alias("island"), F.col("b.n").alias("cues"), (-F.col("b.s")).alias("span"))
+
+
 def audio_windows(risks: DataFrame, padding_ms: int = 1500, merge_gap_ms: int = 1000) -> DataFrame:
     """Padded and merged windows: track, island, start_ms, end_ms, cues."""
     padded = risks.withColumns({"start_ms": F.greatest(F.lit(0), F.col("start_ms") - padding_ms), "end_ms": F.col("end_ms") + padding_ms})
@@ -57,7 +71,7 @@ def combined_coverage(targets: DataFrame, references: DataFrame) -> DataFrame:
 
 
 def without_near_duplicates(secondary: DataFrame, primary: DataFrame, within_ms: int = 2000) -> DataFrame:
-    """Secondary rows (track, pos, start_ms, end_ms, norm) with no primary row of equal norm at most within_ms away."""
+    """Secondary rows (track, pos, start_ms, end_ms, norm) with no primary row of equal norm at most within_ms away; an empty norm equals none."""
     p = primary.select(F.col("track").alias("p_track"), F.col("norm").alias("p_norm"), F.col("start_ms").alias("p_start"), F.col("end_ms").alias("p_end"))
-    near = (F.col("track") == F.col("p_track")) & (F.col("norm") == F.col("p_norm")) & (distance_ms(F.col("start_ms"), F.col("end_ms"), F.col("p_start"), F.col("p_end")) <= within_ms)
+    near = (F.col("track") == F.col("p_track")) & (F.col("norm") == F.col("p_norm")) & (F.col("norm") != "") & (distance_ms(F.col("start_ms"), F.col("end_ms"), F.col("p_start"), F.col("p_end")) <= within_ms)
     return secondary.join(p, near, "left_anti")

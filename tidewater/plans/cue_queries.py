@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import risk as R
 from ..functions import text as X
 from ..functions import timecode as T
 from ..operators import intervals, quality, sets
@@ -60,18 +61,18 @@ def cue_combined_coverage(spark, sf_dir):
 def cue_near_duplicate_anti_join(spark, sf_dir):
     rows = cues(spark, sf_dir)
     norm = X.normalised(F.col("text")).alias("norm")
-    primary = rows.where("role = 'user'").select("track", norm, "start_ms", "end_ms")
-    return intervals.without_near_duplicates(second_track(rows).select("track", "pos", norm, "start_ms", "end_ms"), primary).select("track", "pos")
+    # every third cue of the second track lies further off
+    shifted = second_track(rows).withColumns({c: F.col(c) + F.when(F.col("pos") % 3 == 0, 60_000).otherwise(0) for c in ("start_ms", "end_ms")})
+    primary = rows.select("track", norm, "start_ms", "end_ms")
+    return intervals.without_near_duplicates(shifted.select("track", "pos", norm, "start_ms", "end_ms"), primary).select("track", "pos")
 
 
 def audio_windows(spark, sf_dir):
-    return intervals.audio_windows(cues(spark, sf_dir).where("role = 'user'").select("track", "pos", "start_ms", "end_ms"))
+    return intervals.audio_windows(cues(spark, sf_dir).select("track", "pos", "start_ms", "end_ms"))
 
 
 def timing_clusters(spark, sf_dir):
-    size = intervals.islands(cues(spark, sf_dir).select("track", "pos", "start_ms", "end_ms"), 2500).groupBy("track", "island").agg(F.count("*").alias("n"), (F.max("end_ms") - F.min("start_ms")).alias("span"))
-    best = size.groupBy("track").agg(F.max(F.struct("n", (-F.col("span")).alias("s"), (-F.col("island")).alias("i"))).alias("b"))
-    return best.select("track", (-F.col("b.i")).alias("island"), F.col("b.n").alias("cues"), (-F.col("b.s")).alias("span"))
+    return intervals.dominant_run(cues(spark, sf_dir).select("track", "pos", "start_ms", "end_ms"))
 
 
 def source_quality(spark, sf_dir):
@@ -110,7 +111,7 @@ def cue_predicates(spark, sf_dir):
 
 
 def cue_numbers(spark, sf_dir):
-    return cues(spark, sf_dir).select("track", "pos", F.array_join(X.numbers(F.col("text")), "|").alias("numbers"), X.visible_length(F.col("text")).alias("visible"), F.size(X.words(F.col("text"))).alias("words"))
+    return cues(spark, sf_dir).select("track", "pos", F.array_join(R.number_set(F.col("text")), "|").alias("numbers"), X.visible_length(F.col("text")).alias("visible"), F.size(X.words(F.col("text"))).alias("words"))
 
 
 def cue_normalised(spark, sf_dir):
@@ -126,19 +127,12 @@ def review_sample(spark, sf_dir):
     return sets.round_robin(rows, "role", "stratum", "key", 30, SEED).select("role", "stratum", "key", "place")
 
 
-def term_usage(spark, sf_dir):
-    """Occurrences of each benchmark word of five letters or more among the cues' words, by equi-join on words."""
-    terms = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.explode(X.words(F.col("text"))).alias("term")).where(F.length("term") >= 5).distinct()
-    said = cues(spark, sf_dir).select("track", "pos", F.explode(X.words(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("hits"), F.countDistinct("track", "pos").alias("cues"))
-    return terms.join(said, "term").select("term", "hits", "cues")
-
-
 def unique_words_by_role(spark, sf_dir):
     each = cues(spark, sf_dir).select("role", F.explode(F.array_distinct(X.words(F.col("text")))).alias("word"))
-    return each.groupBy("role", "word").agg(F.count("*").alias("cues")).where("cues >= 3")
+    return each.groupBy("role", "word").agg(F.count("*").alias("cues"))
 
 
-QUERIES = {f.__name__: f for f in (cue_stamps, srt_round_trip, cue_best_matches, cue_combined_coverage, cue_near_duplicate_anti_join, audio_windows, timing_clusters, source_quality, display_checks, display_metrics, density_floor, cue_neighbours, cue_context, cue_predicates, cue_numbers, cue_normalised, spot_checks, review_sample, term_usage, unique_words_by_role)}
+QUERIES = {f.__name__: f for f in (cue_stamps, srt_round_trip, cue_best_matches, cue_combined_coverage, cue_near_duplicate_anti_join, audio_windows, timing_clusters, source_quality, display_checks, display_metrics, density_floor, cue_neighbours, cue_context, cue_predicates, cue_numbers, cue_normalised, spot_checks, review_sample, unique_words_by_role)}
 
 _STAMP = "printf('%02d:%02d:%02d,%03d', {0} // 3600000, ({0} // 60000) % 60, ({0} // 1000) % 60, {0} % 1000)"
 _WORDS = "regexp_extract_all(replace(lower({0}), '’', ''''), '[a-z0-9'']+')"
@@ -169,12 +163,14 @@ SQL = {
         i AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY track, pos ORDER BY s, e, other ROWS UNBOUNDED PRECEDING) AS island FROM r),
         k AS (SELECT track, pos, sum(ms) AS ms FROM (SELECT track, pos, island, max(e) - min(s) AS ms FROM i GROUP BY 1, 2, 3) GROUP BY 1, 2)
         SELECT c.track, c.pos, round(CASE WHEN end_ms > start_ms THEN coalesce(ms, 0) / (end_ms - start_ms)::DOUBLE ELSE 0 END, 6) AS covered FROM cues c LEFT JOIN k ON c.track = k.track AND c.pos = k.pos""",
-    "cue_near_duplicate_anti_join": f"""{CUES}, p AS (SELECT track, {_NORM.format('text')} AS norm, start_ms, end_ms FROM cues WHERE role = 'user'),
-        s AS (SELECT track, pos, {_NORM.format('text')} AS norm, start_ms, end_ms FROM other)
-        SELECT track, pos FROM s WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.track = s.track AND p.norm = s.norm AND greatest(0, p.start_ms - s.end_ms, s.start_ms - p.end_ms) <= 2000)""",
-    "audio_windows": f"""{CUES}, w AS (SELECT track, pos, greatest(0, start_ms - 1500) AS start_ms, end_ms + 1500 AS end_ms FROM cues WHERE role = 'user'), {_islands('w', 1000)}
+    "cue_near_duplicate_anti_join": f"""{CUES}, p AS (SELECT track, {_NORM.format('text')} AS norm, start_ms, end_ms FROM cues),
+        s AS (SELECT track, pos, {_NORM.format('text')} AS norm, start_ms + CASE WHEN pos % 3 = 0 THEN 60000 ELSE 0 END AS start_ms, end_ms + CASE WHEN pos % 3 = 0 THEN 60000 ELSE 0 END AS end_ms FROM other)
+        SELECT track, pos FROM s WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.track = s.track AND p.norm = s.norm AND s.norm <> '' AND greatest(0, p.start_ms - s.end_ms, s.start_ms - p.end_ms) <= 2000)""",
+    "audio_windows": f"""{CUES}, w AS (SELECT track, pos, greatest(0, start_ms - 1500) AS start_ms, end_ms + 1500 AS end_ms FROM cues), {_islands('w', 1000)}
         SELECT track, island, min(start_ms) AS start_ms, max(end_ms) AS end_ms, count(*) AS cues FROM i GROUP BY 1, 2""",
-    "timing_clusters": f"""{CUES}, {_islands('cues', 2500)}, g AS (SELECT track, island, count(*) AS cues, max(end_ms) - min(start_ms) AS span FROM i GROUP BY 1, 2)
+    "timing_clusters": f"""{CUES}, o AS (SELECT *, CASE WHEN start_ms - lag(end_ms) OVER (PARTITION BY track ORDER BY pos) <= 2500 THEN 0 ELSE 1 END AS opens FROM cues),
+        i AS (SELECT *, sum(opens) OVER (PARTITION BY track ORDER BY pos ROWS UNBOUNDED PRECEDING)::BIGINT AS island FROM o),
+        g AS (SELECT track, island, count(*) AS cues, arg_max(end_ms, pos) - arg_min(start_ms, pos) AS span FROM i GROUP BY 1, 2)
         SELECT track, island, cues, span FROM g QUALIFY row_number() OVER (PARTITION BY track ORDER BY cues DESC, span, island) = 1""",
     "source_quality": f"""{CUES}, r AS (SELECT *, {_NORM.format('text')} AS norm, end_ms - start_ms AS dur, coalesce(lag(start_ms) OVER (PARTITION BY track ORDER BY pos), -1) AS before FROM cues),
         b AS (SELECT track, count(*) AS cues, round(avg((start_ms >= before AND dur > 0)::INT), 4) AS monotonic_ratio, round(avg((dur <= 50)::INT), 4) AS micro_cue_ratio, round(avg((dur BETWEEN 200 AND 1000)::INT), 4) AS short_cue_ratio,
@@ -197,12 +193,10 @@ SQL = {
         q AS (SELECT *, length(regexp_replace(content, '[^{X.HAN[1:-1]}]', '', 'g')) / length(content) AS h, length(regexp_replace(content, '[^\p{{Latin}}]', '', 'g')) / length(content) AS l FROM r)
         SELECT track, pos, CASE WHEN {_SFX} THEN 'music_sfx' WHEN length(content) = 0 THEN 'unknown' WHEN h >= 0.6 AND l < 0.15 THEN 'already_zh' WHEN l >= 0.6 AND h < 0.15 THEN 'english_reaction' WHEN h >= 0.15 AND l >= 0.15 THEN 'mixed' ELSE 'unknown' END AS class,
                regexp_matches(text, '{X.HAN}') AS han, regexp_matches(text, '{X.KANA}') AS kana, regexp_matches(text, '{X.HANGUL}') AS hangul, {_SFX} AS sfx, {_FRAGMENT} AS fragment FROM q""",
-    "cue_numbers": rf"""{CUES} SELECT track, pos, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '\d[\d,]*'), lambda v: replace(v, ',', '')))), '|') AS numbers, {_VISIBLE} AS visible, len({_WORDS.format('text')})::INTEGER AS words FROM cues""",
+    "cue_numbers": rf"""{CUES} SELECT track, pos, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '\d+(?:[.,]\d+)?'), lambda v: regexp_replace(v, '[.,]', '', 'g')))), '|') AS numbers, {_VISIBLE} AS visible, len({_WORDS.format('text')})::INTEGER AS words FROM cues""",
     "cue_normalised": rf"""{CUES} SELECT track, pos, {_NORM.format('text')} AS norm, trim(regexp_replace(text, '>>+|\[[^\]]+\]', ' ', 'g')) AS stripped FROM cues""",
     "spot_checks": f"""{CUES}, k AS (SELECT track, pos, track::VARCHAR || '|' || pos::VARCHAR AS key FROM cues) SELECT track, pos FROM k WHERE ('0x' || substr({_HASH}, 1, 8))::BIGINT % 100 < 5""",
     "review_sample": f"""{CUES}, k AS (SELECT role, pos % 3 AS stratum, track * 1000 + pos AS key FROM cues), t AS (SELECT *, row_number() OVER (PARTITION BY role, stratum ORDER BY {_HASH}, key) AS turn FROM k)
         SELECT role, stratum, key, row_number() OVER (PARTITION BY role ORDER BY turn, stratum)::INTEGER AS place FROM t QUALIFY place <= 30""",
-    "term_usage": f"""{CUES}, t AS (SELECT DISTINCT unnest({_WORDS.format('text')}) AS term FROM benchmark), s AS (SELECT track, pos, unnest({_WORDS.format('text')}) AS term FROM cues)
-        SELECT term, count(*) AS hits, count(DISTINCT (track, pos)) AS cues FROM s JOIN t USING (term) WHERE length(term) >= 5 GROUP BY 1""",
-    "unique_words_by_role": f"""{CUES}, s AS (SELECT DISTINCT role, track, pos, unnest({_WORDS.format('text')}) AS word FROM cues) SELECT role, word, count(*) AS cues FROM s GROUP BY 1, 2 HAVING count(*) >= 3""",
+    "unique_words_by_role": f"""{CUES}, s AS (SELECT DISTINCT role, track, pos, unnest({_WORDS.format('text')}) AS word FROM cues) SELECT role, word, count(*) AS cues FROM s  GROUP BY 1, 2""",
 }

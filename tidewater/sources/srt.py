@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.timecode import ms_to_stamp, stamp_to_ms
@@ -10,17 +10,22 @@ from ..functions.timecode import ms_to_stamp, stamp_to_ms
 ARROW = r"^\s*(\S+)\s*-->\s*(\S+)\s*$"
 
 
+def stripped(text: Column) -> Column:
+    """Without white space at either end."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def parse(files: DataFrame, strict: bool = True) -> DataFrame:
     """(track, content) to (track, pos, id, start_ms, end_ms, text) in file order.
 
-    Byte-order mark and CR LF are normalised, blocks of fewer than two lines are skipped. A malformed block raises, or is
-    left out where strict is false.
+    Byte-order mark and CR LF are normalised. Only an empty line ends a block; lines of white space alone inside one are
+    left out. Blocks of fewer than two lines are skipped. A malformed block raises, or is left out where strict is false.
     """
     clean = F.regexp_replace(F.regexp_replace("content", "^\\x{FEFF}", ""), r"\r\n?", "\n")
-    blocks = files.select("track", F.posexplode(F.split(F.trim(clean), r"\n\s*\n")).alias("pos", "block"))
-    lines = blocks.select("track", "pos", F.filter(F.split(F.trim("block"), "\n"), lambda x: F.trim(x) != "").alias("lines")).where(F.size("lines") >= 2)
+    blocks = files.select("track", F.posexplode(F.split(stripped(clean), r"\n\n")).alias("pos", "block"))
+    lines = blocks.select("track", "pos", F.split(stripped(F.col("block")), "\n").alias("lines")).where(F.size("lines") >= 2)
     at = lambda i: F.regexp_extract(F.get("lines", F.lit(1)), ARROW, i)
-    rows = lines.select("track", "pos", F.trim(F.get("lines", F.lit(0))).try_cast("int").alias("id"), stamp_to_ms(at(1)).alias("start_ms"), stamp_to_ms(at(2)).alias("end_ms"), F.array_join(F.slice("lines", 3, 1 << 20), "\n").alias("text"))
+    rows = lines.select("track", "pos", F.when(F.get("lines", F.lit(0)).rlike(r"^\s*[0-9]+\s*$"), stripped(F.get("lines", F.lit(0)))).try_cast("int").alias("id"), stamp_to_ms(at(1)).alias("start_ms"), stamp_to_ms(at(2)).alias("end_ms"), F.array_join(F.filter(F.slice("lines", F.lit(3), F.size("lines")), lambda x: x.rlike(r"\S")), "\n").alias("text"))
     good = F.col("id").isNotNull() & F.col("start_ms").isNotNull() & F.col("end_ms").isNotNull()
     if strict:
         return rows.withColumn("id", F.when(good, F.col("id")).otherwise(F.raise_error(F.concat(F.lit("malformed block "), F.col("pos").cast("string"), F.lit(" of "), F.col("track").cast("string"))).cast("int")))
@@ -33,7 +38,7 @@ def read(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
 
 
 def render(cues: DataFrame) -> DataFrame:
-    """(track, pos, id, start_ms, end_ms, text) to one SubRip document a track: byte-order mark, CR LF, a blank line between blocks."""
+    """(track, pos, id, start_ms, end_ms, text) to one SubRip document a track: byte-order mark, CR LF within blocks, a line feed alone between them."""
     block = F.concat_ws("\r\n", F.col("id").cast("string"), F.concat_ws(" --> ", ms_to_stamp(F.col("start_ms")), ms_to_stamp(F.col("end_ms"))), F.replace("text", F.lit("\n"), F.lit("\r\n")))
     ordered = F.array_sort(F.collect_list(F.struct("pos", block.alias("block"))))
-    return cues.groupBy("track").agg(F.concat(F.lit("﻿"), F.array_join(F.transform(ordered, lambda x: x["block"]), "\r\n\r\n"), F.lit("\r\n")).alias("content"))
+    return cues.groupBy("track").agg(F.concat(F.lit("﻿"), F.array_join(F.transform(ordered, lambda x: x["block"]), "\r\n\n"), F.lit("\r\n")).alias("content"))
