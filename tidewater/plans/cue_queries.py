@@ -79,8 +79,17 @@ def source_quality(spark, sf_dir):
     return quality.source_quality(cues(spark, sf_dir))
 
 
+def source_verdict(spark, sf_dir):
+    return quality.verdict(quality.source_quality(cues(spark, sf_dir))).select("track", "language_ratio", "mean_length", "score", F.array_join("reasons", ",").alias("reasons"), "usable", "needs_secondary")
+
+
+#: Texts as they are shown, with defects at fixed positions.
+SHOWN = "CASE WHEN pos % 7 = 0 THEN concat('，', text) WHEN pos % 7 = 1 THEN concat('a', chr(10), 'b', chr(10), text) WHEN pos % 7 = 2 THEN 'です' WHEN pos % 7 = 3 THEN '네 그래' WHEN pos % 7 = 4 THEN ' 好 ' ELSE text END"
+
+
 def display_checks(spark, sf_dir):
-    return quality.display_checks(cues(spark, sf_dir)).select("track", "pos", F.array_join("issues", ",").alias("issues"))
+    shown = cues(spark, sf_dir).withColumn("text", F.expr(SHOWN.replace("chr(10)", "char(10)")))
+    return quality.display_checks(shown, F.lit(20_000)).select("track", "pos", F.array_join("errors", ",").alias("errors"), F.array_join("warnings", ",").alias("warnings"))
 
 
 def display_metrics(spark, sf_dir):
@@ -132,7 +141,7 @@ def unique_words_by_role(spark, sf_dir):
     return each.groupBy("role", "word").agg(F.count("*").alias("cues"))
 
 
-QUERIES = {f.__name__: f for f in (cue_stamps, srt_round_trip, cue_best_matches, cue_combined_coverage, cue_near_duplicate_anti_join, audio_windows, timing_clusters, source_quality, display_checks, display_metrics, density_floor, cue_neighbours, cue_context, cue_predicates, cue_numbers, cue_normalised, spot_checks, review_sample, unique_words_by_role)}
+QUERIES = {f.__name__: f for f in (cue_stamps, srt_round_trip, cue_best_matches, cue_combined_coverage, cue_near_duplicate_anti_join, audio_windows, timing_clusters, source_quality, source_verdict, display_checks, display_metrics, density_floor, cue_neighbours, cue_context, cue_predicates, cue_numbers, cue_normalised, spot_checks, review_sample, unique_words_by_role)}
 
 _STAMP = "printf('%02d:%02d:%02d,%03d', {0} // 3600000, ({0} // 60000) % 60, ({0} // 1000) % 60, {0} % 1000)"
 _WORDS = "regexp_extract_all(replace(lower({0}), '’', ''''), '[a-z0-9'']+')"
@@ -176,12 +185,16 @@ SQL = {
         b AS (SELECT track, count(*) AS cues, round(avg((start_ms >= before AND dur > 0)::INT), 4) AS monotonic_ratio, round(avg((dur <= 50)::INT), 4) AS micro_cue_ratio, round(avg((dur BETWEEN 200 AND 1000)::INT), 4) AS short_cue_ratio,
               round(avg((dur >= 10000)::INT), 4) AS long_cue_ratio, round(avg(({_FRAGMENT})::INT), 4) AS fragment_ratio FROM r GROUP BY 1),
         s AS (SELECT track, norm, count(*) AS n FROM r WHERE norm <> '' GROUP BY 1, 2),
-        l AS (SELECT track, sum(n) AS total, count(*) AS kinds, sum(CASE WHEN n >= 3 AND length(norm) >= 4 THEN n ELSE 0 END) AS looped FROM s GROUP BY 1)
-        SELECT b.*, round(coalesce(kinds / total, 0), 4) AS unique_ratio, round(coalesce(looped / total, 0), 4) AS loop_ratio FROM b LEFT JOIN l USING (track)""",
-    "display_checks": f"""{CUES}, r AS (SELECT *, end_ms - start_ms AS dur, {_VISIBLE} AS seen, lag(start_ms) OVER w AS before, max(end_ms) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM cues WINDOW w AS (PARTITION BY track ORDER BY pos)),
-        x AS (SELECT track, pos, array_to_string(list_filter([CASE WHEN dur <= 0 THEN 'end_not_after_start' END, CASE WHEN dur > 0 AND seen >= 8 AND seen / (dur / 1000) > 14 THEN 'fast' END, CASE WHEN dur > 0 AND dur < 300 THEN 'flash' END,
-              CASE WHEN dur > 7000 THEN 'long' END, CASE WHEN start_ms < before THEN 'not_increasing' END, CASE WHEN start_ms < reach - 250 THEN 'overlap' END], lambda v: v IS NOT NULL), ',') AS issues FROM r)
-        SELECT * FROM x WHERE issues <> ''""",
+        l AS (SELECT track, sum(n) AS total, count(*) AS kinds, sum(n * length(norm)) AS letters, sum(CASE WHEN n >= 3 AND length(norm) >= 4 THEN n ELSE 0 END) AS looped FROM s GROUP BY 1),
+        g AS (SELECT track, sum(len(regexp_extract_all(text, '[A-Za-z]'))) AS latin, sum(len(regexp_extract_all(text, '[\\x{{3400}}-\\x{{9FFF}}\\x{{3040}}-\\x{{30FF}}\\x{{AC00}}-\\x{{D7AF}}]'))) AS other FROM cues GROUP BY 1)
+        SELECT b.*, round(latin / greatest(latin + other, 1), 4) AS language_ratio, round(coalesce(letters / total, 0), 4) AS mean_length, round(coalesce(kinds / total, 0), 4) AS unique_ratio, round(coalesce(looped / total, 0), 4) AS loop_ratio FROM b LEFT JOIN l USING (track) JOIN g USING (track)""",
+    "display_checks": f"""{CUES}, z AS (SELECT track, pos, start_ms, end_ms, trim({SHOWN}) AS text FROM cues),
+        r AS (SELECT *, end_ms - start_ms AS dur, {_VISIBLE} AS seen, string_split(text, chr(10)) AS l, lag(start_ms) OVER w AS before, max(end_ms) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM z WINDOW w AS (PARTITION BY track ORDER BY pos)),
+        x AS (SELECT track, pos, array_to_string(list_filter([CASE WHEN dur <= 0 THEN 'end_not_after_start' END, CASE WHEN regexp_matches(text, '{X.HANGUL}') THEN 'hangul_residue' END, CASE WHEN regexp_matches(text, '{R.KANA_RESIDUE}') THEN 'kana_residue' END,
+              CASE WHEN start_ms < before THEN 'not_increasing' END, CASE WHEN start_ms < reach - 250 THEN 'overlap' END, CASE WHEN end_ms > 20250 THEN 'past_the_end' END], lambda v: v IS NOT NULL), ',') AS errors,
+              array_to_string(list_filter([CASE WHEN dur > 0 AND seen >= 8 AND seen / (dur / 1000) > 14 THEN 'fast' END, CASE WHEN dur > 0 AND dur < 300 THEN 'flash' END, CASE WHEN dur > 7000 THEN 'long' END,
+              CASE WHEN regexp_matches(text, '^[，。！？；：,.!?;:…]') THEN 'starts_with_punctuation' END, CASE WHEN len(l) > 2 THEN 'three_lines' END, CASE WHEN len(list_filter(l, lambda v: {_VISIBLE.replace('text', 'v')} > 22)) > 0 THEN 'wide_line' END], lambda v: v IS NOT NULL), ',') AS warnings FROM r)
+        SELECT * FROM x WHERE errors <> '' OR warnings <> ''""",
     "display_metrics": f"""{CUES}, r AS (SELECT *, max(end_ms) OVER ({_BEFORE} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM cues)
         SELECT track, count(*) FILTER (start_ms < reach) AS overlaps, count(*) FILTER (end_ms <= start_ms) AS empty, count(*) FILTER (start_ms - reach > 5000) AS gaps FROM r GROUP BY 1""",
     "density_floor": f"""{CUES}, r AS (SELECT track, pos, CASE WHEN end_ms > start_ms THEN {_VISIBLE} / ((end_ms - start_ms) / 60000.0::DOUBLE) ELSE 0 END AS cpm FROM cues),
@@ -200,3 +213,12 @@ SQL = {
         SELECT role, stratum, key, row_number() OVER (PARTITION BY role ORDER BY turn, stratum)::INTEGER AS place FROM t QUALIFY place <= 30""",
     "unique_words_by_role": f"""{CUES}, s AS (SELECT DISTINCT role, track, pos, unnest({_WORDS.format('text')}) AS word FROM cues) SELECT role, word, count(*) AS cues FROM s  GROUP BY 1, 2""",
 }
+_PROFILE = SQL["source_quality"]
+_RAPID = "(short_cue_ratio >= 0.5 AND mean_length >= 4)"
+SQL["source_verdict"] = f"""WITH q AS ({_PROFILE}), v AS (SELECT *, greatest(0, CASE WHEN cues >= 10 THEN 20 WHEN cues >= 3 THEN 10 ELSE 0 END + CASE WHEN language_ratio >= 0.75 THEN 35 WHEN language_ratio >= 0.45 THEN 20 ELSE 0 END
+        + CASE WHEN unique_ratio >= 0.45 THEN 25 WHEN unique_ratio >= 0.25 THEN 12 ELSE 0 END + CASE WHEN monotonic_ratio >= 0.98 THEN 20 WHEN monotonic_ratio >= 0.9 THEN 10 ELSE 0 END
+        - 15 * (micro_cue_ratio >= 0.05)::INT - 15 * (fragment_ratio >= 0.2)::INT - 15 * {_RAPID}::INT - 30 * (loop_ratio >= 0.3)::INT) AS score FROM q),
+    w AS (SELECT *, score >= 60 AND cues >= 3 AND language_ratio >= 0.45 AS usable FROM v)
+    SELECT track, language_ratio, mean_length, score, array_to_string(list_filter([CASE WHEN cues < 3 THEN 'too_few_subtitles' END, CASE WHEN language_ratio < 0.45 THEN 'not_english' END, CASE WHEN unique_ratio < 0.25 THEN 'high_repetition' END, CASE WHEN monotonic_ratio < 0.9 THEN 'invalid_timeline' END,
+           CASE WHEN micro_cue_ratio >= 0.05 THEN 'rolling_fragments' END, CASE WHEN fragment_ratio >= 0.2 THEN 'sentence_fragments' END, CASE WHEN {_RAPID} THEN 'rapid_short_cues' END, CASE WHEN loop_ratio >= 0.3 THEN 'hallucination_loop' END, CASE WHEN long_cue_ratio >= 0.05 THEN 'timing_anomalies' END], lambda x: x IS NOT NULL), ',') AS reasons,
+           usable, usable AND (micro_cue_ratio >= 0.05 OR fragment_ratio >= 0.2 OR {_RAPID} OR long_cue_ratio >= 0.05) AS needs_secondary FROM w"""
