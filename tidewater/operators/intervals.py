@@ -75,3 +75,29 @@ def without_near_duplicates(secondary: DataFrame, primary: DataFrame, within_ms:
     p = primary.select(F.col("track").alias("p_track"), F.col("norm").alias("p_norm"), F.col("start_ms").alias("p_start"), F.col("end_ms").alias("p_end"))
     near = (F.col("track") == F.col("p_track")) & (F.col("norm") == F.col("p_norm")) & (F.col("norm") != "") & (distance_ms(F.col("start_ms"), F.col("end_ms"), F.col("p_start"), F.col("p_end")) <= within_ms)
     return secondary.join(p, near, "left_anti")
+
+
+def timed_tokens(cues: DataFrame) -> DataFrame:
+    """(track, pos, start_ms, end_ms, text) to a row a word: its place n and its share of the cue's time, 120 to 800 ms a word."""
+    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z0-9]+(?:'[a-z0-9]+)?"), F.lit(0))
+    rows = cues.withColumn("w", words).where(F.size("w") > 0)
+    count = F.size("w")
+    raw = F.greatest(F.col("end_ms") - F.col("start_ms"), count)
+    length = F.greatest(count * 120, F.least(raw, F.greatest(F.lit(800), count * 800)))
+    spread = rows.select("track", "pos", "start_ms", length.alias("length"), count.alias("count"), F.posexplode("w").alias("n", "word"))
+    at = lambda k: F.col("start_ms") + F.bround(F.col("length") * k / F.col("count"), 0).cast("long")
+    return spread.select("track", "pos", "n", "word", at(F.col("n")).alias("start_ms"), at(F.col("n") + 1).alias("end_ms"))
+
+
+def apply_timing(cues: DataFrame, reference: DataFrame, aligned: DataFrame) -> DataFrame:
+    """cues at the time that the aligned cues take whose originals in reference (same pos) they overlap; others keep their own."""
+    moved = aligned.select("track", "pos", F.col("start_ms").alias("to_start"), F.col("end_ms").alias("to_end"))
+    pairs = interval_join(cues.select("track", "pos", "start_ms", "end_ms"), reference.select("track", "pos", "start_ms", "end_ms").join(moved, ["track", "pos"]))
+    spans = pairs.groupBy("track", F.col("l_pos").alias("pos")).agg(F.min("r_to_start").alias("s"), F.max("r_to_end").alias("e"))
+    return cues.join(spans, ["track", "pos"], "left").withColumns({"start_ms": F.coalesce("s", "start_ms"), "end_ms": F.coalesce("e", "end_ms")}).drop("s", "e")
+
+
+def remapped(cues: DataFrame, offset_ms: int) -> DataFrame:
+    """cues of a cut-out moved to where it stood, numbered anew from 1 in their order: column id."""
+    order = Window.partitionBy("track").orderBy("pos")
+    return cues.withColumns({"start_ms": F.col("start_ms") + offset_ms, "end_ms": F.col("end_ms") + offset_ms, "id": F.row_number().over(order)})

@@ -38,7 +38,7 @@ def adaptive_batches(spark, sf_dir):
     return folds.batches(cues(spark, sf_dir).select("track", "pos", "start_ms", "end_ms", "text"), target=3, budget=900)
 
 
-_FOLDS = {"rolling_overlaps": folds.rolling_overlaps, "micro_cues": folds.micro_cues, "fragment_merge": partial(folds.fragment_openings, language="en"), "export_clean": folds.export_clean, "rolling_dedupe": folds.rolling_dedupe}
+_FOLDS = {"rolling_overlaps": folds.rolling_overlaps, "micro_cues": folds.micro_cues, "fragment_merge": partial(folds.fragment_openings, language="en"), "export_clean": folds.export_clean, "rolling_dedupe": folds.rolling_dedupe, "minimum_duration": folds.minimum_duration}
 QUERIES = {name: _fold(name, f) for name, f in _FOLDS.items()} | {"semantic_units": semantic_units, "adaptive_batches": adaptive_batches}
 SQL = {
     "adaptive_batches": f"""WITH RECURSIVE {CUES.strip().removeprefix('WITH')}, r AS (SELECT track, pos, row_number() OVER (PARTITION BY track ORDER BY pos) AS k, greatest(1, (length(text) + 3) // 4) + 8 AS need,
