@@ -75,6 +75,10 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
+#: N-grams of a block of rows in the fit.
+BLOCK = 1 << 18
+
+
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     seen = np.zeros((2, 1 << BITS), np.int32)
     for batch in batches:
@@ -85,15 +89,23 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _logistic(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, balance: np.ndarray, rounds: int = 100, decay: float = 5e-4) -> tuple[np.ndarray, float]:
-    """Weights over ratio-scaled presence features, by full-batch Adam."""
-    lengths = np.array([len(r) for r in rows])
-    at, row = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64), np.repeat(np.arange(len(rows)), lengths)
-    value, (w, b) = ratio[at], (np.zeros(len(ratio)), 0.0)
+    """Weights over ratio-scaled presence features, by full-batch Adam; a step walks the rows in blocks, so arrays stay small."""
+    ends = np.cumsum([0, *map(len, rows)])
+    at = np.concatenate([*rows, np.zeros(0, np.int32)]).astype(np.int32)
+    edges = [0, *np.searchsorted(ends, np.arange(BLOCK, int(ends[-1]), BLOCK)).tolist(), len(rows)]
+    w, b = np.zeros(len(ratio)), 0.0
     m, v = np.zeros(len(ratio) + 1), np.zeros(len(ratio) + 1)
     for t in range(1, rounds + 1):
-        z = np.bincount(row, value * w[at], len(rows)) + b
-        err = balance * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) / balance.sum()
-        g = np.append(np.bincount(at, value * err[row], len(ratio)) + decay * w, err.sum())
+        g = np.append(decay * w, 0.0)
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            if lo == hi:
+                continue
+            own = at[ends[lo] : ends[hi]]
+            row, value = np.repeat(np.arange(hi - lo), np.diff(ends[lo : hi + 1])), ratio[own]
+            z = np.bincount(row, value * w[own], hi - lo) + b
+            err = balance[lo:hi] * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y[lo:hi]) / balance.sum()
+            g[:-1] += np.bincount(own, value * err[row], len(ratio))
+            g[-1] += err.sum()
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
