@@ -19,7 +19,7 @@ def keyed(terms: DataFrame) -> DataFrame:
 
 
 def grams(rows: DataFrame, ids: list[str], lengths: list[int]) -> DataFrame:
-    """ids, gram and times: the distinct n-grams of each row's text for the lengths given."""
+    """ids and gram: the n-grams of each row's text for the lengths given, as often as they stand there."""
     tokens = rows.select(*ids, term_tokens(F.col("text")).alias("w"))
 
     def of(n: int) -> Column:
@@ -27,7 +27,7 @@ def grams(rows: DataFrame, ids: list[str], lengths: list[int]) -> DataFrame:
         return F.when(F.size("w") >= n, F.transform(starts, lambda i: F.array_join(F.slice("w", i, n), " "))).otherwise(F.array().cast("array<string>"))
 
     every = F.flatten(F.array(*[of(n) for n in lengths]))
-    return tokens.select(*ids, F.explode(every).alias("gram")).groupBy(*ids, "gram").agg(F.count("*").alias("times"))
+    return tokens.select(*ids, F.explode(every).alias("gram"))
 
 
 def hits(rows: DataFrame, ids: list[str], terms: DataFrame) -> DataFrame:
@@ -36,7 +36,9 @@ def hits(rows: DataFrame, ids: list[str], terms: DataFrame) -> DataFrame:
     lengths = sorted(r[0] for r in known.select("n").distinct().collect())  # as many as the longest term has tokens
     if not lengths:
         return rows.select(*ids).withColumns({"term": F.lit(""), "target": F.lit(""), "times": F.lit(0).cast("long")}).limit(0)
-    return grams(rows, ids, lengths).join(known.select("gram", "term", "target"), "gram").select(*ids, "term", "target", "times")
+    # n-grams meet the terms before they are counted: where the terms fit a broadcast, only hits move
+    met = grams(rows, ids, lengths).join(known.select("gram", "term", "target"), "gram")
+    return met.groupBy(*ids, "term", "target").agg(F.count("*").alias("times"))
 
 
 def usage(found: DataFrame) -> DataFrame:
