@@ -1,7 +1,8 @@
 """Misheard names: runs of one to three words that are nearly, but not exactly, a known name.
 
-A run and a name within two edits share a string that is left when up to two letters of each are deleted, so both meet
-in an equi-join on those strings; no run is compared with every name. Where the names fit a broadcast, runs don't move.
+A run and a name within two edits share a string that is left when up to two letters of each are deleted, and so do
+their first nine letters: where more of them go from one prefix, the other gives up its last ones. Both meet in an
+equi-join on those strings; no run is compared with every name. Where the names fit a broadcast, runs don't move.
 """
 
 from __future__ import annotations
@@ -22,6 +23,9 @@ COMMON = (
 ).split()
 
 
+PREFIX = 9
+
+
 def folded(name: Column) -> Column:
     """Lower-case Latin letters and digits, nothing else."""
     return F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), "[^a-z0-9]+", "")
@@ -58,8 +62,8 @@ def measured(left: pd.Series, right: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"edits": [edits(a, b) for a, b in pairs], "ratio": [SequenceMatcher(None, a, b).ratio() for a, b in pairs]})
 
 
-def runs(rows: DataFrame, ids: list[str]) -> DataFrame:
-    """ids, run, word (the folded run), n, cased: a text's runs of one to three words, each folded form once, as it first stands there."""
+def runs(rows: DataFrame, ids: list[str], lengths: list[int]) -> DataFrame:
+    """ids, run, word (the folded run), n, cased: a text's runs of as many words as lengths say, each folded form once, as it first stands there."""
     w = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("([A-Za-z][A-Za-z'’-]*)"))
     words = rows.select(*ids, w.alias("w"))
 
@@ -68,7 +72,7 @@ def runs(rows: DataFrame, ids: list[str]) -> DataFrame:
         made = F.transform(starts, lambda i: F.struct(F.lit(n).alias("n"), i.alias("i"), F.array_join(F.slice("w", i, n), " ").alias("run")))
         return F.when(F.size("w") >= n, made).otherwise(F.array().cast("array<struct<n:int,i:int,run:string>>"))
 
-    every = words.select(*ids, F.explode(F.concat(of(1), of(2), of(3))).alias("r")).withColumns({"word": folded(F.col("r.run")), "cased": F.col("r.run").rlike(r"(?:^| )[A-Z]")})
+    every = words.select(*ids, F.explode(F.concat(*[of(n) for n in lengths])).alias("r")).withColumns({"word": folded(F.col("r.run")), "cased": F.col("r.run").rlike(r"(?:^| )[A-Z]")})
     said = every.where((F.length("word") >= F.when(F.col("cased"), 4).otherwise(6)) & ~F.col("word").isin(COMMON))
     return said.groupBy(*ids, "word").agg(F.min_by(F.struct("r.run", "r.n", "cased"), F.struct("r.n", "r.i")).alias("f")).select(*ids, "word", "f.*")
 
@@ -82,16 +86,22 @@ def misheard(rows: DataFrame, ids: list[str], names: DataFrame, exact: DataFrame
     Null and empty texts and names give nothing; a run that is exactly a name's folded form is its name.
     """
     known = names.where(F.col("category").isin(CATEGORIES) & ~F.col("term").contains("(")).select("term", "target", folded(F.col("term")).alias("name"), F.size(F.regexp_extract_all("term", F.lit("([A-Za-z]+)"))).alias("n")).where("name <> ''").distinct()
-    said = runs(rows, ids).join(exact.select(*ids, folded(F.col("term")).alias("word")).distinct(), [*ids, "word"], "left_anti")
+    lengths = sorted(r[0] for r in known.where("n BETWEEN 1 AND 3").select("n").distinct().collect())  # three numbers at most
+    if not lengths:
+        return rows.select(*ids).withColumns({"run": F.lit(""), "term": F.lit(""), "target": F.lit(""), "ratio": F.lit(0.0)}).limit(0)
+    said = runs(rows, ids, lengths).join(exact.select(*ids, folded(F.col("term")).alias("word")).distinct(), [*ids, "word"], "left_anti")
     asked = said.select("word", "n", "cased").distinct()
-    keyed = asked.withColumn("key", F.explode(F.when(F.col("cased"), shortened(F.col("word"))).otherwise(shortened(F.col("word"), 1))))
-    meets = keyed.join(known.withColumn("key", F.explode(shortened(F.col("name")))), ["n", "key"]).drop("key").distinct()
+    head = F.left("word", F.lit(PREFIX))
+    keyed = asked.withColumn("key", F.explode(F.when(F.col("cased"), shortened(head)).otherwise(shortened(head, 1))))
+    meets = keyed.join(known.withColumn("key", F.explode(shortened(F.left("name", F.lit(PREFIX))))), ["n", "key"]).drop("key")
     longer, gap = F.greatest(F.length("word"), F.length("name")), F.abs(F.length("word") - F.length("name"))
     fits = F.when(F.col("cased"), gap <= 2).otherwise((gap <= 1) & (F.left("word", F.lit(1)) == F.left("name", F.lit(1))))
     short = longer <= 5
     most = F.when(F.col("cased") & ~short, 2).otherwise(1)
     least = F.when(~F.col("cased"), 0.85).when(short, 0.80).otherwise(0.82)
-    near = meets.where(fits).withColumn("m", measured("word", "name")).where((F.col("m.edits") <= most) & (F.col("m.ratio") >= least))
+    # a swap of neighbours counts twice in the built-in measure, which leaves few pairs to Python
+    close = F.levenshtein("word", "name", 4) <= F.when(F.col("cased"), 4).otherwise(2)
+    near = meets.where(fits & close & (F.levenshtein("word", "name", 4) >= 0)).distinct().withColumn("m", measured("word", "name")).where((F.col("m.edits") <= most) & (F.col("m.ratio") >= least))
     order = Window.partitionBy("word", "n", "cased").orderBy(F.desc("m.ratio"), F.asc("m.edits"), F.desc("term"), F.desc("target"))
     ranked = near.withColumns({"k": F.row_number().over(order), "next": F.lead(F.struct("target", "m.ratio")).over(order)}).where("k = 1")
     sure = F.col("next").isNull() | F.col("next.target").eqNullSafe(F.col("target")) | (F.col("m.ratio") - F.col("next.ratio") >= 0.08)
