@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_chunks, exact_dedup, language_id, minhash_dedup, mixing, token_files, topk_search, toxicity, url_filter, warc
+from . import alignment, bpe_chunks, exact_dedup, language_id, minhash_dedup, mixing, source_audit, token_files, topk_search, toxicity, url_filter, warc
 
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 #: Target weights of the sources src0 to src19: the lower the number, the more.
@@ -79,8 +79,16 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model).select("doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_exact_dedup, op2_url_filter, op3_toxicity, op4_bpe, op5_minhash_dedup, op6_warc, op7_mixing, op8_token_files, op9_topk_search, op10_language_id)
+    own = (op1_exact_dedup, op2_url_filter, op3_toxicity, op4_bpe, op5_minhash_dedup, op6_warc, op7_mixing, op8_token_files, op9_topk_search, op10_language_id, op12_alignment, op13_source_audit)
     return {f.__name__: f for f in own}
 
 
@@ -123,4 +131,19 @@ def oracle_sql() -> dict[str, str]:
                   FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
             r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
             SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+        "op13_source_audit": f"""
+            WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(coalesce(text, ''), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+            t AS (SELECT r, lang, source, unnest(list_transform(w, lambda x: translate(x, '{url_filter.UPPER}', '{url_filter.LOWER}'))) AS term FROM d),
+            k AS (SELECT lang, term, count(*) AS lang_n FROM t GROUP BY 1, 2 HAVING count(DISTINCT r) >= 3),
+            c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN k USING (lang, term) GROUP BY 1, 2, 3),
+            s AS (SELECT lang, source, coalesce(v, 0) AS v, coalesce(lang_total, 0) AS lang_total, coalesce(total, 0) AS total FROM (SELECT DISTINCT lang, source FROM d)
+                  LEFT JOIN (SELECT lang, count(*) AS v, sum(lang_n) AS lang_total FROM k GROUP BY 1) USING (lang) LEFT JOIN (SELECT lang, source, sum(n) AS total FROM c GROUP BY 1, 2) USING (lang, source)),
+            p AS (SELECT s.lang, s.source, k.term, coalesce(n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(n, 0) + 1) // (total + v) AS p, 1 + 1000000000::HUGEINT * (lang_n + 1) // (lang_total + v) AS q
+                  FROM s JOIN k ON s.lang = k.lang LEFT JOIN c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term),
+            f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+            o AS (SELECT s.lang, s.source, 'pair' AS part, x.source AS item, coalesce(value, 0)::BIGINT AS value FROM s JOIN s x ON s.lang = x.lang AND s.source <> x.source
+                  LEFT JOIN f ON f.lang = s.lang AND f.source = s.source AND f.item = x.source
+                  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM p WHERE n > 0 AND p > q),
+            r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM o)
+            SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 200""",
     }
