@@ -10,13 +10,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, bpe_chunks, exact_dedup, language_id, minhash_dedup, mixing, source_audit, token_files, topk_search, toxicity, url_filter, warc
+from . import alignment, bpe_chunks, exact_dedup, language_id, minhash_dedup, mixing, quality, source_audit, token_files, topk_search, toxicity, url_filter, warc
 
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 #: Target weights of the sources src0 to src19: the lower the number, the more.
 WEIGHTS = {f"src{i}": 24 - i for i in range(20)}
 OTHER_WEIGHT, BLOCK_SIZE = 4, 64
 TOXIC_FROM = 0.7
+GOOD_FROM = 0.3
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +80,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model).select("doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold("doc_id", 5) != 0)
+    return scored.select("doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= GOOD_FROM).cast("int").alias("predicted"))
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"))
 
@@ -88,7 +94,7 @@ def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_exact_dedup, op2_url_filter, op3_toxicity, op4_bpe, op5_minhash_dedup, op6_warc, op7_mixing, op8_token_files, op9_topk_search, op10_language_id, op12_alignment, op13_source_audit)
+    own = (op1_exact_dedup, op2_url_filter, op3_toxicity, op4_bpe, op5_minhash_dedup, op6_warc, op7_mixing, op8_token_files, op9_topk_search, op10_language_id, op11_quality, op12_alignment, op13_source_audit)
     return {f.__name__: f for f in own}
 
 
