@@ -139,6 +139,49 @@ def test_toxicity(spark, odd, none):
     assert toxicity.score(odd, empty).count() == len(ROWS) and toxicity.score(none, model).count() == 0
 
 
+def test_toxicity_sums_over_partitions(spark):
+    """Counts, loss and gradient of the written sample against dense ones; the minimiser against Newton's steps."""
+    texts = [("you are a moron and a clown", 1), ("moron!", 1), ("a nice day", 0), ("the clown is nice", 0), ("", 0), ("day by day by day", 0), ("moron", 1)] * 5
+    rows = spark.createDataFrame(texts, "text string, toxic int").repartition(4)
+    held = rows.mapInArrow(toxicity._rows, "grams binary, toxic int")
+    n, y = 1 << toxicity.BITS, np.array([t for _, t in texts], float)
+    x = np.zeros((len(texts), n), np.float32)
+    for i, (t, _) in enumerate(texts):
+        x[i, np.unique(toxicity.hashes(t)).astype(int)] = 1
+    clean, toxic = x[y == 0].sum(axis=0), x[y == 1].sum(axis=0)
+    counts = held.mapInArrow(toxicity._count, "gram long, clean long, toxic long").groupBy("gram").sum("clean", "toxic").toPandas()
+    assert {(int(a), int(b), int(c)) for a, b, c in counts.itertuples(index=False)} == {(g, int(clean[g]), int(toxic[g])) for g in np.flatnonzero(clean + toxic)}
+    ratio = toxicity.ratios(clean.astype(float), toxic.astype(float))
+    assert (ratio[(clean == 0) & (toxic == 0)] == 0).all() and ratio[(clean == 0) & (toxic > 0)].min() > 0 > ratio[(clean > 0) & (toxic == 0)].max()
+    w, b, share = np.random.default_rng(1).normal(0, 0.3, n), 0.2, (0.5 / (y == 0).sum(), 0.5 / (y == 1).sum())
+    parts = held.mapInArrow(toxicity._slope(w, b, share), "loss double, bias double, slope binary").collect()
+    z, each = x.astype(float) @ w + b, np.where(y == 1, share[1], share[0])
+    err = each * (1 / (1 + np.exp(-z)) - y)
+    np.testing.assert_allclose(sum(p.loss for p in parts), (each * (np.log1p(np.exp(z)) - y * z)).sum(), rtol=1e-9)
+    np.testing.assert_allclose(sum(np.frombuffer(p.slope) for p in parts), x.T.astype(float) @ err, atol=1e-9)
+    some = np.flatnonzero(clean + toxic)
+    f = np.hstack([x[:, some] * ratio[some], np.ones((len(y), 1))]).astype(float)
+    decay = np.append(np.full(len(some), 1e-2), 0.0)
+
+    def slope(v):
+        p = f @ v
+        return float((each * (np.logaddexp(0, p) - y * p)).sum() + decay @ v**2 / 2), f.T @ (each * (1 / (1 + np.exp(-p)) - y)) + decay * v
+
+    newton = np.zeros(f.shape[1])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-f @ newton))
+        newton -= np.linalg.solve(f.T @ (f * (each * p * (1 - p))[:, None]) + np.diag(decay) + 1e-12 * np.eye(len(newton)), slope(newton)[1])
+    np.testing.assert_allclose(toxicity.least(slope, f.shape[1], steps=400), newton, atol=1e-3)
+
+
+def test_toxicity_is_alike_under_other_partitions(spark):
+    docs, labels = queries.table(spark, MID, "documents"), queries.table(spark, MID, "labels")
+    a, b = (toxicity.fit(docs.repartition(k), labels, queries.fold("doc_id", 3) != 1) for k in (2, 5))
+    np.testing.assert_allclose(a.weights, b.weights, atol=1e-5)
+    clash = docs.withColumns({"score": F.lit(1), "toxic": F.lit("x"), "grams": F.lit(2)})
+    assert toxicity.score(clash, a).columns == ["doc_id", "score"] and toxicity.accepted(clash, a).columns == clash.columns
+
+
 def test_language_id(spark, odd, none):
     docs = queries.table(spark, MID, "documents")
     got = queries.op10_language_id(spark, MID).join(docs, "doc_id").where("held_out")

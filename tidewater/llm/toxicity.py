@@ -1,11 +1,12 @@
 """Toxicity: a linear classifier over character n-grams whose features are scaled by naive Bayes log-count ratios.
 
-Presence of hashed 3- to 5-grams of the lower-cased, space-folded text; each n-gram's value is its log-count ratio
-between toxic and clean training rows, less DOUBT standard errors of that ratio. All n-grams take part whose ratio the
-counts bear out at all (what is left is not zero), however many those are; a logistic regression over them gives the weights.
+Presence of hashed 3- to 5-grams of the lower-cased, space-folded text. Every n-gram's value is its smoothed log-count
+ratio between toxic and clean training rows; a logistic regression over all of them, with weights shrunk towards zero
+and the classes weighted alike, gives the classifier.
 
-fit() reads labelled rows only, of them a sample bounded by `per_class` rows of each class in expectation; counts,
-selection and fit all use that sample. score() reads every whole text and needs no shuffle.
+fit() reads labelled rows only, of them a sample bounded by `per_class` rows of each class in expectation, which is
+written once as n-grams. Counts, and every step's loss and gradient, are sums over its partitions; the driver holds
+vectors of one number for each hashed n-gram. score() reads every whole text and needs no shuffle.
 
 Defined results: a null or empty text has no n-grams and gets the intercept's score. Rows whose label or id is null are
 not learned from; of several labels for an id the largest counts. Without both classes among the training rows the
@@ -19,20 +20,22 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import mix64
+from .shared import mix64, table
 
 BITS = 18
 SIZES = (3, 4, 5)
 #: Bound of the training sample: so many rows of each class in expectation.
 PER_CLASS = 4000
-SMOOTH = 1.0
-#: Standard errors by which a log-count ratio is drawn towards zero.
-DOUBT = 2.0
+#: Rows that every n-gram is taken to have besides those counted, in the classes as all n-grams are.
+SMOOTH = 200.0
+#: Weight of the squared weights beside the loss, steps of the fit, and the norm of the gradient at which it ends.
+DECAY, STEPS, FLAT = 1e-4, 20, 1e-5
+#: Partitions of the sample: so many gradients reach the driver each step.
+PARTS = 8
 
 
 def hashes(text: str | None) -> np.ndarray:
@@ -58,20 +61,13 @@ def ngrams(text: str | None) -> np.ndarray:
     return np.flatnonzero(seen)
 
 
-def among(text: str | None, chosen: np.ndarray) -> np.ndarray:
-    """Distinct n-grams of a text that a boolean table marks."""
-    h = hashes(text)
-    return np.unique(h[chosen[h]]).astype(np.int64)
-
-
 @dataclass
 class Model:
-    weights: np.ndarray  # float32, one for each n-gram hash; zero for those not selected
+    weights: np.ndarray  # float32, one for each n-gram hash
     intercept: float
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        used = self.weights != 0
-        z = np.array([self.weights[among(t, used)].sum(dtype=np.float64) for t in texts], np.float64) + self.intercept
+        z = np.array([self.weights[ngrams(t)].sum(dtype=np.float64) for t in texts], np.float64) + self.intercept
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
@@ -79,37 +75,81 @@ class Model:
 BLOCK = 1 << 18
 
 
-def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    seen = np.zeros((2, 1 << BITS), np.int32)
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
-            seen[int(toxic), ngrams(text)] += 1
-    at = np.flatnonzero(seen.any(axis=0))
-    yield pd.DataFrame({"gram": at.astype(np.int32), "clean": seen[0, at], "toxic": seen[1, at]})
-
-
-def _logistic(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, balance: np.ndarray, rounds: int = 100, decay: float = 5e-4) -> tuple[np.ndarray, float]:
-    """Weights over ratio-scaled presence features, by full-batch Adam; a step walks the rows in blocks, so arrays stay small."""
-    ends = np.cumsum([0, *map(len, rows)])
-    at = np.concatenate([*rows, np.zeros(0, np.int32)]).astype(np.int32)
-    edges = [0, *np.searchsorted(ends, np.arange(BLOCK, int(ends[-1]), BLOCK)).tolist(), len(rows)]
-    w, b = np.zeros(len(ratio)), 0.0
-    m, v = np.zeros(len(ratio) + 1), np.zeros(len(ratio) + 1)
-    for t in range(1, rounds + 1):
-        g = np.append(decay * w, 0.0)
+        found = [ngrams(t).astype("<i4").tobytes() for t in batch.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column(1)], ["grams", "toxic"])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Some rows at a time: all their n-grams, the row of each, the rows' labels."""
+    for batch in batches:
+        grams, labels = [np.frombuffer(x, "<i4") for x in batch.column(0).to_pylist()], np.asarray(batch.column(1), np.float64)
+        ends = np.cumsum([0, *map(len, grams)])
+        edges = sorted({0, len(grams), *np.searchsorted(ends, np.arange(BLOCK, int(ends[-1]), BLOCK)).tolist()})
         for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-            if lo == hi:
-                continue
-            own = at[ends[lo] : ends[hi]]
-            row, value = np.repeat(np.arange(hi - lo), np.diff(ends[lo : hi + 1])), ratio[own]
-            z = np.bincount(row, value * w[own], hi - lo) + b
-            err = balance[lo:hi] * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y[lo:hi]) / balance.sum()
-            g[:-1] += np.bincount(own, value * err[row], len(ratio))
-            g[-1] += err.sum()
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-        w, b = w - step[:-1], b - step[-1]
-    return w * ratio, b
+            yield np.concatenate([np.zeros(0, np.int32), *grams[lo:hi]]), np.repeat(np.arange(hi - lo), np.diff(ends[lo : hi + 1])), labels[lo:hi]
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen = np.zeros((2, 1 << BITS), np.int64)
+    for grams, row, labels in _blocks(batches):
+        for k in (0, 1):
+            seen[k] += np.bincount(grams[labels[row] == k], minlength=1 << BITS)
+    at = np.flatnonzero(seen.any(axis=0))
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[0, at]), pa.array(seen[1, at])], ["gram", "clean", "toxic"])
+
+
+def _slope(value: np.ndarray, bias: float, share: tuple[float, float]):
+    """Summed loss and gradient of a partition for weights already times ratios."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g, loss, over = np.zeros(1 << BITS), 0.0, 0.0
+        for grams, row, labels in _blocks(batches):
+            z = np.bincount(row, value[grams], len(labels)) + bias
+            each = np.where(labels == 1, share[1], share[0])
+            err = each * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - labels)
+            loss += float((each * (np.logaddexp(0, z) - labels * z)).sum())
+            over += float(err.sum())
+            g += np.bincount(grams, err[row], 1 << BITS)
+        yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([over]), pa.array([g.tobytes()], pa.binary())], ["loss", "bias", "slope"])
+
+    return run
+
+
+def ratios(clean: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Log-count ratios of n-grams (presences a class), smoothed; 0 for those that neither class has."""
+    share = toxic.sum() / (toxic.sum() + clean.sum())
+    return np.log((toxic + SMOOTH * share) / toxic.sum()) - np.log((clean + SMOOTH * (1 - share)) / clean.sum())
+
+
+def least(slope, size: int, steps: int = STEPS, memory: int = 8) -> np.ndarray:
+    """Where a smooth convex function is least, from zero, by limited-memory quasi-Newton steps; slope gives its value and gradient."""
+    x = np.zeros(size)
+    f, g = slope(x)
+    past: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(steps):
+        if np.sqrt(g @ g) < FLAT:
+            break
+        d, kept = g.copy(), []
+        for s, y in reversed(past):
+            kept.append((s @ d) / (s @ y))
+            d -= kept[-1] * y
+        d *= (past[-1][0] @ past[-1][1]) / (past[-1][1] @ past[-1][1]) if past else 1 / max(1.0, np.sqrt(g @ g))
+        for (s, y), k in zip(past, reversed(kept), strict=True):
+            d += s * (k - (y @ d) / (s @ y))
+        t, fall = 1.0, g @ d
+        while True:
+            there, slope_there = slope(x - t * d)
+            if there <= f - 1e-4 * t * fall or t < 1e-8:
+                break
+            t /= 4
+        if t < 1e-8:
+            break
+        s, y = -t * d, slope_there - g
+        if s @ y > 1e-12:
+            past = [*past[-memory + 1 :], (s, y)]
+        x, f, g = x + s, there, slope_there
+    return x
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS) -> Model:
@@ -123,31 +163,25 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, id_col: str = "d
     drawn = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("toxicity")), F.lit(1 << 30)) / (1 << 30)
     sample = F.broadcast(marked.where(drawn < share))  # about 2 * per_class rows of two numbers
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).join(sample, "id").select("text", "toxic")
-    counts = rows.mapInPandas(_count, "gram int, clean long, toxic long").groupBy("gram").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    # rates over n-gram presences
-    p, q = F.col("toxic") + SMOOTH, F.col("clean") + SMOOTH
-    total = counts.agg(F.sum("toxic"), F.sum("clean")).first()
-    if not total[0] or not total[1]:
-        return Model(none, float(np.log(totals[1] / totals[0])))
-    ratio, doubt = F.log(p / total[0]) - F.log(q / total[1]), DOUBT * F.sqrt(1 / p + 1 / q)
-    borne = counts.select("gram", (F.signum(ratio) * F.greatest(F.abs(ratio) - doubt, F.lit(0.0))).alias("ratio")).where("ratio <> 0").orderBy("gram").toPandas()  # 2 ** BITS rows at most
-    place = np.full(1 << BITS, -1, np.int64)
-    place[borne["gram"].to_numpy()] = np.arange(len(borne))
-
-    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [place[among(t, place >= 0)] for t in batch["text"]]
-            yield pd.DataFrame({"at": [f.astype(np.int32).tobytes() for f in found], "toxic": batch["toxic"]})
-
-    held = rows.mapInPandas(pick, "at binary, toxic int").toPandas()
-    y = held["toxic"].to_numpy(np.float64)
-    if not 0 < y.sum() < len(y):
+    made = rows.mapInArrow(_rows, "grams binary, toxic int")
+    held = table(made.repartition(PARTS, "grams").sortWithinPartitions("grams", "toxic"), "toxicity")
+    counts = held.mapInArrow(_count, "gram long, clean long, toxic long").groupBy("gram").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toPandas()  # 2 ** BITS rows at most
+    own = {r["toxic"]: r["n"] for r in held.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    if len(own) < 2 or not counts["clean"].any() or not counts["toxic"].any():
         return Model(none, float(np.log(totals[1] / totals[0])))
-    prior = {k: totals[k] / (totals[0] + totals[1]) / (y == k).mean() for k in (0, 1)}  # undoes unequal sampling of the classes
-    w, b = _logistic([np.frombuffer(x, np.int32) for x in held["at"]], y, borne["ratio"].to_numpy(np.float64), np.where(y == 1, prior[1], prior[0]))
-    weights = none.copy()
-    weights[borne["gram"].to_numpy()] = w
-    return Model(weights, float(b))
+    seen = np.zeros((2, 1 << BITS))
+    seen[:, counts["gram"].to_numpy()] = counts[["clean", "toxic"]].to_numpy().T
+    ratio = ratios(*seen)
+    weight = [0.5 / own[k] for k in (0, 1)]  # either class has half of the loss
+
+    def slope(x: np.ndarray) -> tuple[float, np.ndarray]:
+        parts = held.mapInArrow(_slope(x[:-1] * ratio, float(x[-1]), tuple(weight)), "loss double, bias double, slope binary").toArrow().to_pylist()  # PARTS vectors or so
+        parts = sorted((r["loss"], r["bias"], r["slope"]) for r in parts)  # sums in one order
+        g = np.sum([np.frombuffer(r[2], np.float64) for r in parts], axis=0) * ratio + DECAY * x[:-1]
+        return sum(r[0] for r in parts) + DECAY / 2 * float(x[:-1] @ x[:-1]), np.append(g, sum(r[1] for r in parts))
+
+    x = least(slope, (1 << BITS) + 1)
+    return Model((x[:-1] * ratio).astype(np.float32), float(x[-1]))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
