@@ -114,3 +114,21 @@ def test_risk_rules(spark):
     assert values(spark, R.is_whitelisted(F.col("a"), *whitelist), "Yeah, okay", "From Bandai Namco Games", "Namco", "", "!!") == [True, True, False, False, False]
     df = spark.createDataFrame([(["text_conflict", "unknown_entity: a ,b", "unknown_entity:", " x : "],)], "r array<string>").select(R.reason_kinds(F.col("r")).alias("k"), R.reason_surfaces(F.col("r"), "unknown_entity").alias("s")).first()
     assert (df.k, df.s) == (["text_conflict", "unknown_entity", "x"], ["a", "b"])
+
+
+def test_numbered_characters(spark):
+    rows = [("a &#233;&#xE9;&#X1F600; &#0; &#xD800; &#9999999; &#; &amp;#65;",), (None,), ("&#39;x&#39;",)]
+    got = [r[0] for r in spark.createDataFrame(rows, "t string").select(vtt.payload_line(F.col("t"))).collect()]
+    assert got == ["a éé😀 \ufffd \ufffd \ufffd &#; &#65;", None, "'x'"]
+
+
+def test_srt_blocks_and_files(spark, tmp_path):
+    rows = spark.createDataFrame([("a", p, p, p * 1000, p * 1000 + 500, f"x{p}\ny") for p in range(1, 60)] + [("b", 1, 1, 0, 10, "z")], "track string, pos long, id int, start_ms long, end_ms long, text string")
+    back = srt.parse_blocks(srt.blocks(rows)).orderBy("track", "pos").collect()
+    assert [(r.track, r.id, r.start_ms, r.end_ms, r.text) for r in back] == [(r.track, r.id, r.start_ms, r.end_ms, r.text) for r in rows.orderBy("track", "pos").collect()]
+    srt.write(rows, str(tmp_path / "out"))
+    for track, n in (("a", 59), ("b", 1)):
+        files = sorted((tmp_path / "out" / f"track={track}").glob("*.txt"))
+        whole = b"".join(f.read_bytes() for f in files).decode()
+        again = srt.parse(spark.createDataFrame([(track, whole)], "track string, content string")).orderBy("pos").collect()
+        assert [r.id for r in again] == list(range(1, n + 1)) and again[0].text == ("x1\ny" if track == "a" else "z")

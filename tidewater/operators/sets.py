@@ -30,7 +30,8 @@ def merged_view(generated: DataFrame, automatic: DataFrame, review: DataFrame) -
 def round_robin(rows: DataFrame, group: str, stratum: str, key: str, n: int, seed: str) -> DataFrame:
     """n rows a group, taken from its strata in turn, inside a stratum in the order of a seeded hash."""
     order = F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256)
-    inner = rows.withColumn("turn", F.row_number().over(Window.partitionBy(group, stratum).orderBy(order, key)))
+    # a stratum gives n rows at most, and Spark cuts it before it shuffles
+    inner = rows.withColumn("turn", F.row_number().over(Window.partitionBy(group, stratum).orderBy(order, key))).where(F.col("turn") <= n)
     return inner.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy("turn", stratum))).where(F.col("place") <= n)
 
 

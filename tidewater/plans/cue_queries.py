@@ -44,7 +44,7 @@ def cue_stamps(spark, sf_dir):
 
 def srt_round_trip(spark, sf_dir):
     rows = cues(spark, sf_dir).withColumn("id", F.col("pos").cast("int"))
-    return srt.parse(srt.render(rows)).select("track", "id", "start_ms", "end_ms", F.trim("text").alias("text"))
+    return srt.parse_blocks(srt.blocks(rows)).select("track", "id", "start_ms", "end_ms", F.trim("text").alias("text"))
 
 
 def cue_best_matches(spark, sf_dir):

@@ -15,7 +15,8 @@ def _t(spark, sf_dir, name) -> DataFrame:
 
 
 def job_log_tail(spark, sf_dir):
-    return sets.keep_last(_t(spark, sf_dir, "events"), "user_id", "event_id", 5).select("user_id", "event_id", "event_type")
+    """The last 300 events of each kind's log."""
+    return sets.keep_last(_t(spark, sf_dir, "events"), "event_type", "event_id").select("user_id", "event_id", "event_type")
 
 
 def job_events_after(spark, sf_dir):
@@ -88,7 +89,7 @@ def seeded_selection(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (job_log_tail, job_events_after, job_last_activity, job_sessions, job_daily, batch_metrics, glossary_stats, store_upsert, snapshot_diff, risk_view, id_differences, risk_reasons, seeded_selection)}
 
 SQL = {
-    "job_log_tail": "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 5",
+    "job_log_tail": "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) <= 300",
     "job_events_after": "SELECT event_id, user_id, event_type FROM events WHERE event_id > 100",
     "job_last_activity": "SELECT user_id, max(event_id) FILTER (event_type <> 'view') AS last_event, count(*) AS events, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY 1",
     "job_sessions": """WITH l AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events), s AS (SELECT *, sum(CASE WHEN p IS NULL OR ts - p >= INTERVAL 12 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM l)

@@ -11,14 +11,29 @@ from .srt import stripped
 # fixed values: forms of a timing line and of marks inside a payload line
 TIMING = r"^\s*((?:\d+:)?\d{2}:\d{2}\.\d{3})\s+-->\s+((?:\d+:)?\d{2}:\d{2}\.\d{3})(?:\s+.*)?$"
 INLINE_TIME, RUBY_TEXT, TAG = r"<(?:\d+:)?\d{2}:\d{2}\.\d{3}>", r"(?i)<rt(?:\s[^>]*)?>.*?</rt>", "</?[^>]+>"
-#: Entities that payloads use; others stay as they are.
+REFERENCE = "&#([xX][0-9A-Fa-f]{1,6}|[0-9]{1,7});"
+#: Entities that payloads use, besides numbers of characters; others stay as they are.
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": "\u00a0", "&amp;": "&"}
 
 
+def _character(number: Column) -> Column:
+    """The character of that number; a sign of replacement where there is none."""
+    code = F.when(F.lower(number).startswith("x"), F.conv(F.substring(number, 2, 9), 16, 10)).otherwise(number).cast("int")
+    known = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    return F.when(known, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("\ufffd")
+
+
+def numbered_characters(line: Column) -> Column:
+    """A line with `&#233;` and `&#xE9;` put as the characters they name."""
+    found = F.array_distinct(F.regexp_extract_all(line, F.lit(REFERENCE)))
+    return F.aggregate(found, line, lambda t, n: F.replace(t, F.concat(F.lit("&#"), n, F.lit(";")), _character(n)))
+
+
 def payload_line(line: Column) -> Column:
     """A payload line without inline times, ruby text and tags, entities resolved, hard spaces as spaces."""
     for pattern in (INLINE_TIME, RUBY_TEXT, TAG):
         line = F.regexp_replace(line, pattern, "")
+    line = numbered_characters(line)
     for name, sign in ENTITIES.items():
         line = F.replace(line, F.lit(name), F.lit(sign))
     return stripped(F.translate(line, "\u00a0\u200b", " "))
