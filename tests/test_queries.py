@@ -14,13 +14,17 @@ SF = "/root/testdata/sf0.01"
 FOLDS = {"rolling_overlaps": folds.rolling_overlaps, "micro_cues": folds.micro_cues, "fragment_merge": folds.fragment_openings, "export_clean": folds.export_clean, "rolling_dedupe": folds.rolling_dedupe, "minimum_duration": folds.minimum_duration}
 
 
+#: Tested in test_retime, test_entities, test_similar and test_watch.
+ELSEWHERE = {"retimed_cues", "joined_recordings", "glossary_extract", "entity_candidates", "heard_names", "names_put_right", "near_terms_ja", "job_watch", "job_changes"}
+
+
 @pytest.mark.parametrize("name", list(catalog.oracle_sql()))
 def test_matches_sql(spark, name):
     assert_same(spark, catalog.queries()[name], catalog.oracle_sql()[name], SF)
 
 
 def test_queries_without_sql_have_a_test_here():
-    assert set(catalog.queries()) - set(catalog.oracle_sql()) == {*FOLDS, "semantic_units", "source_union_nested", "text_conflicts", "misheard_names", "reading_rhythm", "shown_cues"}
+    assert set(catalog.queries()) - set(catalog.oracle_sql()) == {*FOLDS, "semantic_units", "source_union_nested", "text_conflicts", "misheard_names", "reading_rhythm", "shown_cues"} | ELSEWHERE
 
 
 @pytest.fixture(scope="module")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewater.operators import display, names, reports, rework
 from tidewater.operators.folds import Cue
+from tidewater.operators.similar import near_pairs
 from tidewater.plans import rework_queries as q
 
 SF = "/root/testdata/sf0.01"
@@ -70,10 +71,13 @@ def test_edits():
 
 
 def test_words_within_two_edits_meet(spark):
-    """Every word within two edits of another shares one of its shortened forms."""
-    pairs = [("jinhsi", "jihnsi"), ("jinhsi", "jnhsii"), ("abcd", "badc"), ("abcdef", "abxdyf"), ("rover", "rovers"), ("aa", "a"), ("abcdefgh", "cdefgh"), ("abcdefghijk", "cdefghijk"), ("abcdefghi", "abcdefghixy"), ("abcdefghijklm", "bacdefghijlkm")]
-    df = spark.createDataFrame(pairs, "a string, b string").select(F.arrays_overlap(*[names.shortened(F.left(c, F.lit(names.PREFIX))) for c in ("a", "b")]).alias("m"))
-    assert all(r.m for r in df.collect())
+    """Every name that is one or two edits off a word, swaps of neighbours among them, is found for it."""
+    pairs = [("jinhsi", "jihnsi"), ("jinhsi", "jnhsii"), ("abcdef", "badcef"), ("abcdef", "abxdyf"), ("rover", "rovers"), ("aaaa", "aaa"), ("abcdefgh", "cdefgh"), ("abcdefghijk", "cdefghijk"), ("abcdefghi", "abcdefghixy"), ("abcdefghijklm", "bacdefghijlkm"), ("abcd", "acbd")]
+    known = spark.createDataFrame([(b.capitalize(), "t", "character") for _, b in pairs], "term string, target string, category string")
+    rows = spark.createDataFrame([(i, a.capitalize()) for i, (a, _) in enumerate(pairs)], "id int, text string")
+    asked = names.runs(rows, ["id"], [1])
+    met = {(r.word, r.name) for r in near_pairs(asked, known.select(names.folded(F.col("term")).alias("name"), F.lit(1).alias("n")), names.shared_pairs(F.col("word"), F.col("cased")), same=("n",)).collect()}
+    assert set(pairs) <= met
 
 
 def test_misheard_cases(spark):

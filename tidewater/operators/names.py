@@ -1,8 +1,7 @@
 """Misheard names: runs of one to three words that are nearly, but not exactly, a known name.
 
-A run and a name within two edits share a string that is left when up to two letters of each are deleted, and so do
-their first nine letters: where more of them go from one prefix, the other gives up its last ones. Both meet in an
-equi-join on those strings; no run is compared with every name. Where the names fit a broadcast, runs don't move.
+Runs meet the names of as many words on the rarest pairs of letters that they must share (similar.py); no run is compared
+with every name. What meets is measured by the built-in distance first, and few pairs reach the exact one.
 """
 
 from __future__ import annotations
@@ -14,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
+from .similar import near_pairs
+
 # fixed values: categories of names, and common words that are no misheard names
 CATEGORIES = "character story_character character_alias".split()
 COMMON = (
@@ -23,25 +24,11 @@ COMMON = (
 ).split()
 
 
-PREFIX = 9
-
-
 def folded(name: Column) -> Column:
     """Lower-case Latin letters and digits, nothing else."""
     return F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), "[^a-z0-9]+", "")
 
 
-def shortened(word: Column, most: int = 2) -> Column:
-    """word and all strings that are left when up to `most` of its letters are deleted, each once."""
-    def one(w: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
-
-    rounds = [F.array(word)]
-    for _ in range(most):
-        rounds.append(F.array_distinct(F.flatten(F.transform(rounds[-1], one))))
-    return F.array_distinct(F.concat(*rounds))
-
-
 def edits(a: str, b: str) -> int:
     """Insertions, deletions, substitutions and swaps of neighbours that turn a into b."""
     above, row = [], list(range(len(b) + 1))
@@ -77,6 +64,12 @@ def runs(rows: DataFrame, ids: list[str], lengths: list[int]) -> DataFrame:
     return said.groupBy(*ids, "word").agg(F.min_by(F.struct("r.run", "r.n", "cased"), F.struct("r.n", "r.i")).alias("f")).select(*ids, "word", "f.*")
 
 
+def shared_pairs(word: Column, cased: Column) -> Column:
+    """Pairs of letters that a word shares with any name it may be: of those of the longer one an edit takes three at most, where it swaps neighbours."""
+    n = F.length(word)
+    return F.greatest(F.lit(1), F.array_min(F.transform(F.sequence(n, n + 2), lambda m: F.when(cased & (m > 5), m - 5).otherwise(m - 2))))
+
+
 def misheard(rows: DataFrame, ids: list[str], names: DataFrame, exact: DataFrame) -> DataFrame:
     """ids, run, term, target and ratio: the name a run is taken for.
 
@@ -91,9 +84,7 @@ def misheard(rows: DataFrame, ids: list[str], names: DataFrame, exact: DataFrame
         return rows.select(*ids).withColumns({"run": F.lit(""), "term": F.lit(""), "target": F.lit(""), "ratio": F.lit(0.0)}).limit(0)
     said = runs(rows, ids, lengths).join(exact.select(*ids, folded(F.col("term")).alias("word")).distinct(), [*ids, "word"], "left_anti")
     asked = said.select("word", "n", "cased").distinct()
-    head = F.left("word", F.lit(PREFIX))
-    keyed = asked.withColumn("key", F.explode(F.when(F.col("cased"), shortened(head)).otherwise(shortened(head, 1))))
-    meets = keyed.join(known.withColumn("key", F.explode(shortened(F.left("name", F.lit(PREFIX))))), ["n", "key"]).drop("key")
+    meets = near_pairs(asked, known, shared_pairs(F.col("word"), F.col("cased")), same=("n",), carry=("cased",)).join(known, ["n", "name"])
     longer, gap = F.greatest(F.length("word"), F.length("name")), F.abs(F.length("word") - F.length("name"))
     fits = F.when(F.col("cased"), gap <= 2).otherwise((gap <= 1) & (F.left("word", F.lit(1)) == F.left("name", F.lit(1))))
     short = longer <= 5

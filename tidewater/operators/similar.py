@@ -28,15 +28,19 @@ def pairs_of(word: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda i: F.substring(w, i, F.lit(2)))
 
 
-def near_pairs(asked: DataFrame, names: DataFrame, shared: Column) -> DataFrame:
-    """Distinct (word, name) of asked (word) and names (name) that may share `shared` of the word's pairs at least (a column over word; 1 or more)."""
-    words, known = asked.select("word").where("word <> ''").distinct(), names.select("name").where("name <> ''").distinct()
-    theirs = known.select("name", F.explode(F.array_distinct(pairs_of(F.col("name")))).alias("pair"))
-    rare = theirs.groupBy("pair").agg(F.count("*").alias("n"))
-    own = words.select("word", (F.length("word") + 2 - shared).alias("most"), F.posexplode(pairs_of(F.col("word"))).alias("i", "pair")).join(rare, "pair", "left")
-    order = Window.partitionBy("word").orderBy(F.coalesce("n", F.lit(0)), "pair", "i")
-    prefix = own.withColumn("k", F.row_number().over(order)).where((F.col("k") <= F.col("most")) & F.col("n").isNotNull())
-    return prefix.select("word", "pair").distinct().join(theirs, "pair").select("word", "name").distinct()
+def near_pairs(asked: DataFrame, names: DataFrame, shared: Column, same: tuple[str, ...] = (), carry: tuple[str, ...] = ()) -> DataFrame:
+    """Distinct (word, name) of asked (word) and names (name) that may share `shared` of the word's pairs at least (a column over asked; 1 or more).
+
+    same: columns that asked and names both have and that must agree. carry: columns of asked that come along."""
+    by = list(same)
+    own_key = [*by, *carry, "word"]
+    words, known = asked.select(own_key + [shared.alias("__shared")]).where("word <> ''").distinct(), names.select(*by, "name").where("name <> ''").distinct()
+    theirs = known.select(*by, "name", F.explode(F.array_distinct(pairs_of(F.col("name")))).alias("pair"))
+    rare = theirs.groupBy(*by, "pair").agg(F.count("*").alias("__n"))
+    own = words.select(*own_key, (F.length("word") + 2 - F.col("__shared")).alias("__most"), F.posexplode(pairs_of(F.col("word"))).alias("__i", "pair")).join(rare, [*by, "pair"], "left")
+    order = Window.partitionBy(*own_key).orderBy(F.coalesce("__n", F.lit(0)), "pair", "__i")
+    prefix = own.withColumn("__k", F.row_number().over(order)).where((F.col("__k") <= F.col("__most")) & F.col("__n").isNotNull())
+    return prefix.select(*own_key, "pair").distinct().join(theirs, [*by, "pair"]).select(*own_key, "name").distinct()
 
 
 # fixed values: how much alike audited words and known ones are at least, and from where on they surely are

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audit_queries, cue_queries, entity_queries, evidence_queries, fold_queries, job_queries, retime_queries, rework_queries, store_queries
+from . import audit_queries, cue_queries, entity_queries, evidence_queries, fold_queries, job_queries, ledger_queries, retime_queries, rework_queries, store_queries
 
-MODULES = [cue_queries, evidence_queries, fold_queries, job_queries, store_queries, rework_queries, audit_queries, retime_queries, entity_queries]
+MODULES = [cue_queries, evidence_queries, fold_queries, job_queries, store_queries, rework_queries, audit_queries, retime_queries, entity_queries, ledger_queries]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -123,10 +123,10 @@ QUERIES = {f.__name__: f for f in (glossary_extract, glossary_extract_ja, glossa
 
 def _extract_sql(script: str, before: str) -> str:
     # a term's occurrences follow each other without overlap; what stands before it is part of the match
-    return f"""{CUES}, {_TERMS}, r AS (SELECT track, pos, translate(lower(text), '{LATIN}', '{SCRIPTS[script]}') AS text FROM cues),
-        t AS (SELECT DISTINCT translate(term, '{LATIN}', '{SCRIPTS[script]}') AS term FROM k WHERE regexp_full_match(term, '[a-z]{{3,}}')),
-        m AS (SELECT track, pos, term, len(regexp_extract_all(text, '{before}' || term)) AS times FROM r JOIN t ON contains(text, term))
-        SELECT track, pos, term, times FROM m WHERE times > 0 AND NOT EXISTS (SELECT 1 FROM m x WHERE x.track = m.track AND x.pos = m.pos AND x.times > 0 AND length(x.term) > length(m.term) AND contains(x.term, m.term))"""
+    return f"""{CUES}, {_TERMS}, texts AS (SELECT track, pos, translate(lower(text), '{LATIN}', '{SCRIPTS[script]}') AS text FROM cues),
+        names AS (SELECT DISTINCT translate(term, '{LATIN}', '{SCRIPTS[script]}') AS term FROM k WHERE regexp_full_match(term, '[a-z]{{3,}}')),
+        met AS (SELECT track, pos, term, len(regexp_extract_all(text, '{before}' || term)) AS times FROM texts JOIN names ON contains(text, term))
+        SELECT track, pos, term, times FROM met WHERE times > 0 AND NOT EXISTS (SELECT 1 FROM met x WHERE x.track = met.track AND x.pos = met.pos AND x.times > 0 AND length(x.term) > length(met.term) AND contains(x.term, met.term))"""
 
 
 SQL = {
