@@ -164,7 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, id_col: str = "d
     sample = F.broadcast(marked.where(drawn < share))  # about 2 * per_class rows of two numbers
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).join(sample, "id").select("text", "toxic")
     made = rows.mapInArrow(_rows, "grams binary, toxic int")
-    held = table(made.repartition(PARTS, "grams").sortWithinPartitions("grams", "toxic"), "toxicity")
+    held = table(made.repartition(PARTS, "grams").sortWithinPartitions("grams", "toxic"), "toxicity").coalesce(PARTS)  # as many gradients, however the table is cut
     counts = held.mapInArrow(_count, "gram long, clean long, toxic long").groupBy("gram").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toPandas()  # 2 ** BITS rows at most
     own = {r["toxic"]: r["n"] for r in held.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(own) < 2 or not counts["clean"].any() or not counts["toxic"].any():
