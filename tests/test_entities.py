@@ -34,13 +34,13 @@ def extract_en(text, terms):
 
 def test_extract_against_regular_expressions(spark):
     terms = [r.term for r in Q._terms(spark, SMALL).collect()]
-    cues = {(r.track, r.pos): r.text for r in Q.cues(spark, SMALL).where("track < 7").collect()}
+    cues = {(r.track, r.pos): r.text for r in Q.cues(spark, SMALL).where("track < 3").collect()}
     got = {}
-    for r in Q.glossary_extract(spark, SMALL).where("track < 7").collect():
+    for r in Q.glossary_extract(spark, SMALL).where("track < 3").collect():
         got.setdefault((r.track, r.pos), {})[r.term] = r.times
     alike = [k for k, t in cues.items() if got.get(k, {}) == extract_en(t, terms)]
     # terms of one length that overlap may go either way
-    assert len(alike) >= 0.9 * len(cues) and sum(map(len, got.values())) > 200
+    assert len(alike) >= 0.9 * len(cues) and sum(map(len, got.values())) > 60
     for k in cues.keys() - set(alike):
         assert sum(len(t) * n for t, n in got[k].items()) > 0
 

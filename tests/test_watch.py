@@ -77,7 +77,7 @@ def test_tail_over_micro_batches(spark, tmp_path):
 def test_silence_is_told_once_a_generation_and_state_expires(spark, tmp_path):
     row = lambda job, seq, minute, gen=0, status="running", alive=True: (job, seq, T0 + dt.timedelta(minutes=minute), gen, status, "s", 1.0, alive, "m")
     first = [row("alive", 1, 0), row("gone", 1, 0, alive=False), row("waits", 1, 0, status="queued"), row("done", 1, 0, status="completed"), row("busy", 1, 0)]
-    later = [[row("busy", 2, 25)], [row("busy", 3, 50)], [row("busy", 4, 75), row("gone", 2, 76, gen=0)], [row("gone", 3, 90, gen=2)], [row("busy", 5, 100)], [row("busy", 6, 4000)], [row("end", 1, 9000)], [row("end", 2, 9001)]]
+    later = [[row("busy", 2, 25), row("busy", 3, 50)], [row("busy", 4, 75), row("gone", 2, 76, gen=0)], [row("gone", 3, 90, gen=2), row("busy", 5, 100)], [row("busy", 6, 4000)], [row("end", 1, 9000)], [row("end", 2, 9001)]]
     got, left = run(spark, str(tmp_path), [first, *later], silent_ms=30 * 60_000, keep_ms=48 * 3_600_000, late="1 minute")
     silence = sorted((r.job, r.event, r.seq) for r in got if r.event in ("warned", "reset"))
     # busy is silent after its fifth and its sixth row, of one generation; gone comes back in a higher one

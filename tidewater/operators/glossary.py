@@ -13,7 +13,7 @@ def term_tokens(text: Column) -> Column:
 
 
 def keyed(terms: DataFrame) -> DataFrame:
-    """(term, target) with gram, the term's tokens in one string, and n, their number; terms without a letter or digit are left out."""
+    """(term, target) with gram, the term's tokens in one string, and n, their number; terms without a Latin letter or digit are left out (entities.extract finds those of other scripts)."""
     tokens = F.regexp_replace(F.array_join(term_tokens(F.col("term")), " "), r"^(?:\| )+|(?: \|)+$", "")
     return terms.withColumn("gram", tokens).where(F.col("gram").rlike("[a-z0-9]")).withColumn("n", F.size(F.split("gram", " ")))
 

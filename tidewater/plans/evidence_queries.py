@@ -43,9 +43,9 @@ def risk_rules(spark, sf_dir):
 def risk_score(spark, sf_dir):
     rows = _bilingual(spark, sf_dir)
     floors = rows.select("track", X.characters_per_minute(F.col("source"), F.col("dur")).alias("cpm")).where("cpm > 0").groupBy("track").agg((F.median("cpm") * 0.25).alias("floor"))
-    # the translation comes along with each hit, so texts need no second join
-    found = glossary.hits(rows.select("track", "pos", F.col("target").alias("put"), F.col("source").alias("text")), ["track", "pos", "put"], _terms(spark, sf_dir))
-    missed = found.groupBy("track", "pos").agg(F.max((~F.col("put").contains(F.col("target"))).cast("int")).alias("missed"))
+    # hits are few beside n-grams: translations meet them, not every n-gram
+    found = glossary.hits(rows.select("track", "pos", F.col("source").alias("text")), ["track", "pos"], _terms(spark, sf_dir)).select("track", "pos", F.col("target").alias("means"))
+    missed = found.join(rows.select("track", "pos", "target"), ["track", "pos"]).groupBy("track", "pos").agg(F.max((~F.col("target").contains(F.col("means"))).cast("int")).alias("missed"))
     joined = rows.where(F.col("source").rlike(r"[\p{L}\p{N}]")).join(floors, "track", "left").join(missed, ["track", "pos"], "left")
     reasons = R.reasons(F.col("source"), F.col("target"), F.col("dur"), F.coalesce("floor", F.lit(0.0)), conflict=F.lit(False), terms_missed=F.coalesce(F.col("missed") == 1, F.lit(False)), has_terms=F.col("missed").isNotNull(), names_person=F.lit(False))
     scored = joined.select("track", "pos", reasons.alias("r")).where(F.size("r") > 0)
