@@ -67,19 +67,19 @@ def names_for(text, names):
 
 def test_heard_names_against_every_name(spark):
     names = [r.term for r in Q.names(spark, SMALL).collect()][:]
-    texts = {(r.track, r.pos): r.text for r in Q.misspelt(spark, SMALL).where("track < 4").collect()}
+    texts = {(r.track, r.pos): r.text for r in Q.misspelt(spark, SMALL).where("track < 2").collect()}
     got = {}
-    for r in Q.heard_names(spark, SMALL).where("track < 4").collect():
+    for r in Q.heard_names(spark, SMALL).where("track < 2").collect():
         got.setdefault((r.track, r.pos), set()).add((r.surface, r.term))
     want = {k: found for k, t in texts.items() if (found := names_for(t, names))}
-    assert got == want and sum(map(len, want.values())) > 20
+    assert got == want and sum(map(len, want.values())) > 5
 
 
 def test_near_terms_against_every_window(spark):
     rows, terms = Q._foreign(spark, SMALL, "ja")
     terms = [(r.term, r.target) for r in terms.where("length(term) BETWEEN 3 AND 7").collect()]
     terms = sorted(set(terms))[::9]
-    texts = [(r.track, r.pos, r.text[:90]) for r in rows.where("track < 14").collect()] + [(99, 1, None), (99, 2, ""), (99, 3, "アエ"), (99, 4, "ア ・イ-エ")]
+    texts = [(r.track, r.pos, r.text[:90]) for r in rows.where("track < 7").collect()] + [(99, 1, None), (99, 2, ""), (99, 3, "アエ"), (99, 4, "ア ・イ-エ")]
     got = {(r.track, r.pos, r.term, r.target, r.surface, r.confidence) for r in similar.nearly_in(spark.createDataFrame(texts, "track long, pos long, text string"), ["track", "pos"], spark.createDataFrame([*terms, ("アイエ", "x"), ("アカエ", "y"), ("ab", "z"), (None, "z"), ("アイウ", "")], "term string, target string")).collect()}
     want, known = set(), {}
     for term, target in [*terms, ("アイエ", "x"), ("アカエ", "y")]:
@@ -97,5 +97,5 @@ def test_near_terms_against_every_window(spark):
                         best, most = body[i : i + width], r
             if most >= 0.78:
                 want.add((track, pos, term, target, best, round(most, 3)))
-    assert got == want and len(want) > 10
+    assert got == want and len(want) > 3
     assert similar.nearly_in(spark.createDataFrame(texts, "track long, pos long, text string").limit(0), ["track", "pos"], spark.createDataFrame(terms, "term string, target string")).count() == 0
