@@ -106,6 +106,14 @@ def test_markers_by_language(spark):
     assert values(spark, R.is_incomplete(F.col("a"), F.col("b"), "ja"), ("私の", "我的"), ("行く", "我的")) == [True, False]
 
 
+def test_words_end_at_other_letters(spark):
+    """As in SQL, a word's edge lies between a Latin letter and any other one."""
+    pair = F.array(*R.missing_markers(F.col("a"), F.col("b")))
+    assert values(spark, pair, ("ga noítag", "x"), ("la ñif", "x"), ("noitag ñ_no", "x"), ("no wonderñ", "x")) == [[True, False], [False, True], [False, False], [False, False]]
+    assert values(spark, R.has_credit_line(F.col("a")), "ésubs byñ", "esubs by") == [True, False]
+    assert values(spark, R.is_incomplete(F.col("a"), F.col("b")), ("éto", "因为"), ("veto", "因为")) == [True, False]
+
+
 def test_risk_rules(spark):
     assert values(spark, R.has_english_residue(F.col("a")), "这是 Violet 的", "BOSS 来了", "plain words", "say the word", "说abc的") == [True, False, False, True, False]
     assert values(spark, R.has_noise_command(F.col("a")), "[inaudible 00:12]", "(Laughter)", "ignore the noise", "noise") == [True, True, True, False]

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import FRAGMENT_END, HANGUL, characters_per_minute, has_repeated_clause, strip_marks, visible_length
+from .text import FRAGMENT_END, HANGUL, bounded, characters_per_minute, has_repeated_clause, strip_marks, visible_length
 
 # fixed values: words and patterns of the rules
 RESIDUE_WORDS = (
@@ -78,11 +78,11 @@ def has_hangul_residue(text: Column) -> Column:
 
 
 def has_credit_line(text: Column) -> Column:
-    return text.rlike(CREDITS)
+    return text.rlike(bounded(CREDITS))
 
 
 def has_noise_command(text: Column) -> Column:
-    return text.rlike(NOISE)
+    return text.rlike(bounded(NOISE))
 
 
 def is_incomplete(source: Column, target: Column, language: str = "en") -> Column:
@@ -90,13 +90,13 @@ def is_incomplete(source: Column, target: Column, language: str = "en") -> Colum
     said = strip_marks(source)
     if language == "ja":
         return said.rlike(SOURCE_FRAGMENT_JA) & F.trim(target).rlike(TARGET_FRAGMENT_JA)
-    return said.rlike(FRAGMENT_END) & F.regexp_replace(F.trim(target), "[，,、；;：:]+$", "").rlike(TARGET_FRAGMENT)
+    return said.rlike(bounded(FRAGMENT_END)) & F.regexp_replace(F.trim(target), "[，,、；;：:]+$", "").rlike(TARGET_FRAGMENT)
 
 
 def suspects_forgotten_name(source: Column) -> Column:
     """A name after a speaker mark where the speaker says that they forgot one."""
     after = F.trim(F.regexp_extract(source, r"(?s)^.*?>>(.*)$", 1))
-    return source.contains(">>") & F.lower(source).rlike(FORGOT) & after.rlike(FORGOTTEN_NAME)
+    return source.contains(">>") & F.lower(source).rlike(bounded(FORGOT)) & after.rlike(bounded(FORGOTTEN_NAME))
 
 
 def missing_markers(source: Column, target: Column, language: str = "en") -> tuple[Column, Column]:
@@ -106,8 +106,8 @@ def missing_markers(source: Column, target: Column, language: str = "en") -> tup
     if language != "en":
         return source.rlike(negation) & ~has(no), source.rlike(condition) & ~has(if_)
     low = F.lower(source)
-    denies = F.regexp_replace(low, NOT_NEGATION, "").rlike(negation)
-    depends = F.regexp_replace(low, NOT_CONDITION, "").rlike(condition)
+    denies = F.regexp_replace(low, bounded(NOT_NEGATION), "").rlike(bounded(negation))
+    depends = F.regexp_replace(low, bounded(NOT_CONDITION), "").rlike(bounded(condition))
     return denies & ~has(no), depends & ~has(if_) & ~target.rlike(ASKS_EITHER)
 
 
