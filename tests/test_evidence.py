@@ -114,6 +114,12 @@ def test_words_end_at_other_letters(spark):
     assert values(spark, R.is_incomplete(F.col("a"), F.col("b")), ("éto", "因为"), ("veto", "因为")) == [True, False]
 
 
+def test_score_of_a_negation_before_another_letter(spark):
+    no = {"conflict": F.lit(False), "terms_missed": F.lit(False), "has_terms": F.lit(False), "names_person": F.lit(False)}
+    r = R.reasons(F.col("a"), F.col("b"), F.lit(1000), F.lit(0.0), **no)
+    assert values(spark, F.struct(F.array_join(r, ","), R.score(r)), ("ga noítag", "x"), ("ga nota", "x")) == [("negation_missing", 6), ("", 0)]
+
+
 def test_risk_rules(spark):
     assert values(spark, R.has_english_residue(F.col("a")), "这是 Violet 的", "BOSS 来了", "plain words", "say the word", "说abc的") == [True, False, False, True, False]
     assert values(spark, R.has_noise_command(F.col("a")), "[inaudible 00:12]", "(Laughter)", "ignore the noise", "noise") == [True, True, True, False]
