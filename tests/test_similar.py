@@ -4,9 +4,10 @@ import random
 import re
 from difflib import SequenceMatcher
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from tidewater.operators import similar
+from tidewater.operators import neighbours, similar
 from tidewater.plans import entity_queries as Q
 
 SMALL = "/root/testdata/sf0.001"
@@ -99,3 +100,21 @@ def test_near_terms_against_every_window(spark):
                 want.add((track, pos, term, target, best, round(most, 3)))
     assert got == want and len(want) > 3
     assert similar.nearly_in(spark.createDataFrame(texts, "track long, pos long, text string").limit(0), ["track", "pos"], spark.createDataFrame(terms, "term string, target string")).count() == 0
+
+
+def test_near_terms_by_groups_and_without_pairs_of_texts(spark):
+    """Texts go through one task each, whatever the terms, and meet no table of their pairs of letters; many terms are dealt in groups."""
+    terms = spark.createDataFrame([("アカエオ", "x"), ("イウエオカキク", "y"), ("サシスセソ", "z"), ("アカエオ", "w")], "term string, target string")
+    rows = spark.createDataFrame([(1, "アエオ"), (2, "イウオカキクサシセソ"), (3, "アカエオ"), (4, None), (5, "アアカキエオイウエオカキケク")], "id long, text string")
+    one, many = similar.nearly_in(rows, ["id"], terms), similar.nearly_in(rows, ["id"], terms, most_bytes=100)
+    plan = one._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect())) and {(1, "x"), (2, "z"), (5, "y")} <= {(r.id, r.target) for r in one.collect()}
+
+
+def test_blocks_as_the_matcher_counts_them():
+    rng = random.Random(5)
+    for w, n in ((3, 4), (8, 7), (12, 12), (101, 3)):
+        left, right = (["".join(rng.choice("abcd") for _ in range(k)) for _ in range(200)] for k in (w, n))
+        made = neighbours.matched(*(np.stack([neighbours.codes(t) for t in side]) for side in (left, right)))
+        assert [2.0 * int(m) / (w + n) for m in made] == [SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right, strict=True)]

@@ -11,14 +11,19 @@ Null and empty words and names meet nothing.
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from .neighbours import Names, least_shared
+
+#: Bytes of names that one task takes.
+MOST_BYTES = 8 << 20
 MARGIN = 0.08
 
 
@@ -115,6 +120,43 @@ def heard_as(rows: DataFrame, ids: list[str], names: DataFrame) -> DataFrame:
     return said.join(sure, ["n", "word"]).select(*ids, "surface", "term").distinct()
 
 
+Search = Callable[[Iterator[pd.DataFrame], list[tuple]], Iterator[pd.DataFrame]]
+
+
+def dealt(rows: DataFrame, known: DataFrame, search: Search, schema: str, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """What `search` makes of all rows and all known: a task holds known of most_bytes; where there are more, every group of them meets all rows."""
+    size = known.agg(F.sum(sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in known.columns), F.lit(64)))).first()[0] or 0
+    if size <= most_bytes:
+        held = rows.sparkSession.sparkContext.broadcast([tuple(r) for r in known.collect()])  # most_bytes at most
+        # small tables lie in few parts
+        return rows.repartition(3 * rows.sparkSession.sparkContext.defaultParallelism).mapInPandas(lambda frames: search(frames, held.value), schema)
+    groups, n = -(-size // most_bytes), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salts = max(1, -(-n // groups))
+    group = F.pmod(F.xxhash64(*known.columns), F.lit(groups)).cast("int")
+    keys = [f"__k{i}" for i in range(len(known.columns))]
+    # what a side lacks is no null, which would turn whole numbers into broken ones in pandas
+    told = known.select(group.alias("__group"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__salt"), F.lit(False).alias("__asks"), *[F.col(c).alias(k) for c, k in zip(known.columns, keys, strict=True)], *[F.lit("0").cast(rows.schema[c].dataType).alias(c) for c in rows.columns])
+    salt = F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int")
+    sent = rows.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("__group"), salt.alias("__salt"), F.lit(True).alias("__asks"), *[F.lit("0").cast(known.schema[c].dataType).alias(k) for c, k in zip(known.columns, keys, strict=True)], *rows.columns)
+    met = told.unionByName(sent)
+    met = met.repartition(n, "__group", "__salt").sortWithinPartitions("__group", "__salt", "__asks")
+    names = rows.columns
+
+    def grouped(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, own = None, []
+        for frame in frames:
+            for key, part in frame.groupby(["__group", "__salt"], sort=True):
+                if key != at:
+                    at, own = key, []
+                asks = part["__asks"].to_numpy(bool)
+                own += list(part.loc[~asks, keys].itertuples(index=False, name=None))
+                asked = part.loc[asks, names]
+                if len(asked):
+                    yield from search(iter([asked]), own)
+
+    return met.mapInPandas(grouped, schema)
+
+
 # --- terms that nearly stand in an unsegmented text
 
 
@@ -131,35 +173,7 @@ def _compacted(column: str, schema: str):
     return lambda df: df.mapInPandas(run, f"{schema}, compact string")
 
 
-def needed_pairs(n: int, width: int, least: float) -> int:
-    """Of the n - 1 unmarked pairs of a term of n letters, those that a surface of `width` letters holds whose ratio is `least` or more."""
-    apart = int((1 - least) * (n + width) + 1e-9)
-    apart -= (apart - n - width) % 2
-    if apart < abs(n - width):
-        return n  # no such surface
-    lost = (apart - (width - n)) // 2
-    return n - 1 - 2 * lost - (apart - lost)
-
-
-def best_surface(text: str, term: str, least: float) -> tuple[str, float] | None:
-    """The stretch of a text, one letter more or less than the term, that is most like it; of several the shortest, then the first."""
-    own = {term[i : i + 2] for i in range(len(term) - 1)}
-    hits = [0]
-    for i in range(len(text) - 1):
-        hits.append(hits[-1] + (text[i : i + 2] in own))
-    best, most = "", 0.0
-    for width in range(max(2, len(term) - 1), min(len(text), len(term) + 1) + 1):
-        floor = needed_pairs(len(term), width, least)
-        for start in range(len(text) - width + 1):
-            # a surface that shares fewer pairs isn't alike enough
-            if hits[start + width - 1] - hits[start] >= floor:
-                score = SequenceMatcher(None, text[start : start + width], term).ratio()
-                if score > most:
-                    best, most = text[start : start + width], score
-    return (best, most) if best and most >= least else None
-
-
-def nearly_in(rows: DataFrame, ids: list[str], terms: DataFrame, least: float = 0.78) -> DataFrame:
+def nearly_in(rows: DataFrame, ids: list[str], terms: DataFrame, least: float = 0.78, most_bytes: int = MOST_BYTES) -> DataFrame:
     """ids, term, target, surface, confidence: terms that don't stand in a text, with the stretch of it that is most like each, if alike enough.
 
     rows: ids and text; terms: term and target, of three letters or more. Texts and terms are compared without white space and signs, in compatibility form.
@@ -167,30 +181,52 @@ def nearly_in(rows: DataFrame, ids: list[str], terms: DataFrame, least: float =
     id_schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in ids)
     texts = rows.select(*ids, F.col("text").cast("string").alias("text")).transform(_compacted("text", f"{id_schema}, text string")).select(*ids, F.col("compact").alias("body")).where("body <> ''")
     known = terms.select(F.col("term").cast("string").alias("term"), F.col("target").cast("string").alias("target")).where("target <> ''").transform(_compacted("term", "term string, target string")).where("length(compact) >= 3").groupBy(F.col("compact").alias("name"), "target").agg(F.min("term").alias("term"))
-    plain = lambda c: F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.substring(c, i, F.lit(2)))
-    # three letters may lose the middle one
-    own = known.withColumn("pairs", F.concat(plain(F.col("name")), F.when(F.length("name") == 3, F.array(F.concat(F.left("name", F.lit(1)), F.right("name", F.lit(1))))).otherwise(F.array().cast("array<string>"))))
-    bodies = texts.select("body").distinct()
-    heads = bodies.where("length(body) >= 2").select("body", F.explode(F.array_distinct(plain(F.col("body")))).alias("pair"))
-    rare = heads.groupBy("pair").agg(F.count("*").alias("n"))
-    lengths = sorted(r[0] for r in known.select(F.length("name")).distinct().collect())  # as many as lengths
-    if not lengths:
-        return rows.select(*ids).withColumns({"term": F.lit(""), "target": F.lit(""), "surface": F.lit(""), "confidence": F.lit(0.0)}).limit(0)
-    floors = {n: min(needed_pairs(n, w, least) for w in (n - 1, n, n + 1)) for n in lengths}
-    if any(v < 1 for n, v in floors.items() if n > 3):
-        raise ValueError("a surface that is as little alike may share no pair of letters")
-    kept = F.when(F.length("name") == 3, F.size("pairs"))  # of three letters every pair counts
-    for n in lengths:
-        if n > 3:
-            kept = kept.when(F.length("name") == n, F.size("pairs") - floors[n] + 1)
-    order = Window.partitionBy("name", "target").orderBy(F.coalesce("n", F.lit(0)), "pair", "i")
-    prefix = own.select("name", "target", "term", kept.alias("most"), F.posexplode("pairs").alias("i", "pair")).join(rare, "pair", "left").withColumn("k", F.row_number().over(order)).where((F.col("k") <= F.col("most")) & F.col("n").isNotNull())
-    met = prefix.select("name", "target", "term", "pair").distinct().join(heads, "pair").select("name", "target", "term", "body").distinct().where(~F.col("body").contains(F.col("name")))
-
-    def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = f"{id_schema}, term string, target string, surface string, confidence double"
+    at = [*ids, "term", "target", "surface", "confidence"]
+
+    def search(frames: Iterator[pd.DataFrame], own: list[tuple[str, str, str]]) -> Iterator[pd.DataFrame]:
+        by_name: dict[str, list[tuple[str, str]]] = {}
+        for name, target, term in own:
+            by_name.setdefault(name, []).append((term, target))
+        index = Names(list(by_name), lambda n, w: least_shared(n, w, least) if w > 1 else None, 1)
         for frame in frames:
-            made = [(term, target, body, *b) for name, target, term, body in frame[["name", "target", "term", "body"]].itertuples(index=False) if (b := best_surface(body, name, least))]
-            yield pd.DataFrame(made, columns=["term", "target", "body", "surface", "confidence"])
-
-    found = met.mapInPandas(measure, "term string, target string, body string, surface string, confidence double")
-    return texts.join(found, "body").select(*ids, "term", "target", "surface", F.round("confidence", 3).alias("confidence"))
+            for lo, hi in parts_of(frame["body"].str.len().to_numpy()):
+                part = frame.iloc[lo:hi]
+                best = _best(index, list(part["body"]), least)
+                which, names = best["text"].to_numpy(), [by_name[index.names[k]] for k in best["name"]]
+                many = np.array([len(n) for n in names], np.int64)
+                out = part[ids].iloc[np.repeat(which, many)]
+                told = [t for n in names for t in n]
+                made = out.assign(term=[t for t, _ in told], target=[g for _, g in told], surface=np.repeat(best["surface"].to_numpy(object), many), confidence=np.repeat(best["ratio"].to_numpy(), many))
+                yield made[at].astype({"term": object, "target": object, "surface": object})  # which Arrow takes in one piece
+
+    found = dealt(texts, known.select("name", "target", "term"), search, schema, most_bytes)
+    return found.withColumn("confidence", F.round("confidence", 3))
+
+
+def parts_of(lengths: np.ndarray, letters: int = 1 << 15) -> Iterator[tuple[int, int]]:
+    """Runs of rows with `letters` letters together, or one row."""
+    lo, held = 0, 0
+    for k, n in enumerate(lengths):
+        if held and held + n > letters:
+            yield lo, k
+            lo, held = k, 0
+        held += n
+    if lo < len(lengths):
+        yield lo, len(lengths)
+
+
+def _best(index: Names, texts: list[str], least: float) -> pd.DataFrame:
+    """text, name, surface, ratio: the stretch of a text, one letter more or less than the name, that is most like it; of several the shortest, then the first; of no name that stands in the text."""
+    own = np.array([len(n) for n in index.names], np.int64)
+    kept = []
+    for text, name, start, share, width in index.stretches(texts):
+        ratio = 2.0 * share / (own[name] + width)
+        fits = ratio >= least
+        kept.append(pd.DataFrame({"text": text[fits], "name": name[fits], "start": start[fits], "width": width, "ratio": ratio[fits]}))
+    every = pd.concat([pd.DataFrame({"text": [], "name": [], "start": [], "width": [], "ratio": []}).astype({"text": "int64", "name": "int64", "start": "int64", "width": "int64"}), *kept])
+    order = np.lexsort((every["start"], every["width"], -every["ratio"], every["name"], every["text"]))
+    every = every.iloc[order]
+    every = every[~every.duplicated(["text", "name"]).to_numpy()]
+    every = every[(every["ratio"] < 1.0).to_numpy()]  # only the name itself is wholly alike
+    return every.assign(surface=[texts[t][s : s + w] for t, s, w in zip(every["text"], every["start"], every["width"], strict=True)])
