@@ -118,3 +118,21 @@ def test_blocks_as_the_matcher_counts_them():
         left, right = (["".join(rng.choice("abcd") for _ in range(k)) for _ in range(200)] for k in (w, n))
         made = neighbours.matched(*(np.stack([neighbours.codes(t) for t in side]) for side in (left, right)))
         assert [2.0 * int(m) / (w + n) for m in made] == [SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right, strict=True)]
+
+
+def test_near_names_against_all_pairs_both_ways(spark):
+    rng = random.Random(2)
+    words = sorted({"".join(rng.choice("abcde") for _ in range(rng.randint(1, 14))) for _ in range(120)})
+    names = sorted({w[:2] + w[3:] + rng.choice("abé") for w in words[::2] if len(w) > 3} | {"x"})
+    asked = spark.createDataFrame([(k, w) for w in words for k in "pq"] + [("p", ""), ("p", None)], "kind string, word string")
+    known = spark.createDataFrame([("p", n) for n in names] + [("q", n) for n in names[::2]] + [("q", "")], "kind string, name string")
+    rules = {"p": (lambda n, w: max(n, w) - 2, 2), "q": (lambda n, w: neighbours.least_shared(n, w, 0.8), 1)}
+    want = set()
+    for kind, own in (("p", names), ("q", names[::2])):
+        for w in words:
+            for n in own:
+                alike = SequenceMatcher(None, w, n).ratio()
+                if (edits(w, n) <= 2 and min(len(w), len(n)) > 2) if kind == "p" else (abs(len(w) - len(n)) <= 1 and alike >= 0.8):
+                    want.add((kind, w, n, alike))
+    one, many = ({tuple(r) for r in similar.near_names(asked, known, rules, m).collect()} for m in (8 << 20, 2000))
+    assert one == many and want <= one and len(want) > 60

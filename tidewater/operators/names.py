@@ -1,19 +1,18 @@
 """Misheard names: runs of one to three words that are nearly, but not exactly, a known name.
 
-Runs meet the names of as many words on the rarest pairs of letters that they must share (similar.py); no run is compared
+Runs meet the names of as many words on forms with letters left out on both sides (neighbours.py); no run is compared
 with every name. What meets is measured by the built-in distance first, and few pairs reach the exact one.
 """
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import IntegerType
 
-from .similar import near_pairs
+from .neighbours import Shared, least_shared
+from .similar import near_names
 
 # fixed values: categories of names, and common words that are no misheard names
 CATEGORIES = "character story_character character_alias".split()
@@ -42,11 +41,10 @@ def edits(a: str, b: str) -> int:
     return row[-1]
 
 
-@F.pandas_udf(StructType([StructField("edits", IntegerType()), StructField("ratio", DoubleType())]))
-def measured(left: pd.Series, right: pd.Series) -> pd.DataFrame:
-    """Edits (edits) and matching-block ratio of two words; no built-in function has either."""
-    pairs = list(zip(left, right, strict=True))
-    return pd.DataFrame({"edits": [edits(a, b) for a, b in pairs], "ratio": [SequenceMatcher(None, a, b).ratio() for a, b in pairs]})
+@F.pandas_udf(IntegerType())
+def measured(left: pd.Series, right: pd.Series) -> pd.Series:
+    """Edits (edits) of two words; no built-in function has them."""
+    return pd.Series([edits(a, b) for a, b in zip(left, right, strict=True)], dtype="int32")
 
 
 def runs(rows: DataFrame, ids: list[str], lengths: list[int]) -> DataFrame:
@@ -70,6 +68,22 @@ def shared_pairs(word: Column, cased: Column) -> Column:
     return F.greatest(F.lit(1), F.array_min(F.transform(F.sequence(n, n + 2), lambda m: F.when(cased & (m > 5), m - 5).otherwise(m - 2))))
 
 
+def _kind(n: str, cased: str) -> Column:
+    return F.concat(F.col(n).cast("string"), F.lit(" "), F.col(cased).cast("string"))
+
+
+def shared_letters(cased: bool) -> Shared:
+    """Letters that a word shares with any name it may be: each edit takes one of the longer one's."""
+
+    def of(n: int, w: int) -> int:
+        if not cased:
+            return max(max(n, w) - 1, least_shared(n, w, 0.85))
+        short = max(n, w) <= 5
+        return max(max(n, w) - (1 if short else 2), least_shared(n, w, 0.80 if short else 0.82))
+
+    return of
+
+
 def misheard(rows: DataFrame, ids: list[str], names: DataFrame, exact: DataFrame) -> DataFrame:
     """ids, run, term, target and ratio: the name a run is taken for.
 
@@ -84,7 +98,11 @@ def misheard(rows: DataFrame, ids: list[str], names: DataFrame, exact: DataFrame
         return rows.select(*ids).withColumns({"run": F.lit(""), "term": F.lit(""), "target": F.lit(""), "ratio": F.lit(0.0)}).limit(0)
     said = runs(rows, ids, lengths).join(exact.select(*ids, folded(F.col("term")).alias("word")).distinct(), [*ids, "word"], "left_anti")
     asked = said.select("word", "n", "cased").distinct()
-    meets = near_pairs(asked, known, shared_pairs(F.col("word"), F.col("cased")), same=("n",), carry=("cased",)).join(known, ["n", "name"])
+    rules = {f"{n} {str(cased).lower()}": (shared_letters(cased), 2 if cased else 1) for n in lengths for cased in (True, False)}
+    of_kind = known.where(F.col("n").isin(lengths)).select(F.explode(F.array(F.lit(True), F.lit(False))).alias("cased"), "n", "name")
+    met = near_names(asked.select(_kind("n", "cased").alias("kind"), "word"), of_kind.select(_kind("n", "cased").alias("kind"), "name").distinct(), rules)
+    kind = F.split("kind", " ")
+    meets = met.select(kind[0].cast("int").alias("n"), kind[1].cast("boolean").alias("cased"), "word", "name", F.col("ratio").alias("alike")).join(known, ["n", "name"])
     longer, gap = F.greatest(F.length("word"), F.length("name")), F.abs(F.length("word") - F.length("name"))
     fits = F.when(F.col("cased"), gap <= 2).otherwise((gap <= 1) & (F.left("word", F.lit(1)) == F.left("name", F.lit(1))))
     short = longer <= 5
@@ -92,7 +110,7 @@ def misheard(rows: DataFrame, ids: list[str], names: DataFrame, exact: DataFrame
     least = F.when(~F.col("cased"), 0.85).when(short, 0.80).otherwise(0.82)
     # a swap of neighbours counts twice in the built-in measure, which leaves few pairs to Python
     close = F.levenshtein("word", "name", 4) <= F.when(F.col("cased"), 4).otherwise(2)
-    near = meets.where(fits & close & (F.levenshtein("word", "name", 4) >= 0)).distinct().withColumn("m", measured("word", "name")).where((F.col("m.edits") <= most) & (F.col("m.ratio") >= least))
+    near = meets.where(fits & close & (F.levenshtein("word", "name", 4) >= 0) & (F.col("alike") >= least)).distinct().withColumn("m", F.struct(measured("word", "name").alias("edits"), F.col("alike").alias("ratio"))).where(F.col("m.edits") <= most)
     order = Window.partitionBy("word", "n", "cased").orderBy(F.desc("m.ratio"), F.asc("m.edits"), F.desc("term"), F.desc("target"))
     ranked = near.withColumns({"k": F.row_number().over(order), "next": F.lead(F.struct("target", "m.ratio")).over(order)}).where("k = 1")
     sure = F.col("next").isNull() | F.col("next.target").eqNullSafe(F.col("target")) | (F.col("m.ratio") - F.col("next.ratio") >= 0.08)

@@ -126,6 +126,7 @@ class Names:
                 m = shared(n, w)
                 if m is None or m > min(n, w):
                     continue
+                m = max(m, 0)
                 if max(comb(w, m), comb(n, m)) > WAYS:
                     self.loose[w, n] = m
                     self.counted.setdefault(w, []).extend((k, n - 1 - 2 * (n - m) - (w - m)) for k in ids)

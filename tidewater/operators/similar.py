@@ -3,7 +3,8 @@
 Two words within a number of edits share a number of pairs of neighbouring letters (with marks at both ends); so of a
 word's pairs, the rarest ones that are left when that number less one is taken off must hold one of the other's. Only
 those meet the names' pairs, which keeps pairs that half the words have out of the join. What meets is measured exactly:
-edits by the built-in function, the share of matching blocks (as in Ratcliff and Obershelp's measure) in a Pandas UDF.
+edits by the built-in function, the share of matching blocks (as in Ratcliff and Obershelp's measure) by arrays. Names that
+are short of few letters or have few more are met on forms with letters left out instead (neighbours.py).
 
 Null and empty words and names meet nothing.
 """
@@ -12,15 +13,13 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Callable, Iterator
-from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
-from .neighbours import Names, least_shared
+from .neighbours import Names, Shared, least_shared
 
 #: Bytes of names that one task takes.
 MOST_BYTES = 8 << 20
@@ -48,6 +47,62 @@ def near_pairs(asked: DataFrame, names: DataFrame, shared: Column, same: tuple[s
     return prefix.select(*own_key, "pair").distinct().join(theirs, [*by, "pair"]).select(*own_key, "name").distinct()
 
 
+Search = Callable[[Iterator[pd.DataFrame], list[tuple]], Iterator[pd.DataFrame]]
+
+
+def dealt(rows: DataFrame, known: DataFrame, search: Search, schema: str, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """What `search` makes of all rows and all known: a task holds known of most_bytes; where there are more, every group of them meets all rows."""
+    size = known.agg(F.sum(sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in known.columns), F.lit(64)))).first()[0] or 0
+    if size <= most_bytes:
+        held = rows.sparkSession.sparkContext.broadcast([tuple(r) for r in known.collect()])  # most_bytes at most
+        # small tables lie in few parts
+        return rows.repartition(3 * rows.sparkSession.sparkContext.defaultParallelism).mapInPandas(lambda frames: search(frames, held.value), schema)
+    groups, n = -(-size // most_bytes), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salts = max(1, -(-n // groups))
+    group = F.pmod(F.xxhash64(*known.columns), F.lit(groups)).cast("int")
+    keys = [f"__k{i}" for i in range(len(known.columns))]
+    # what a side lacks is no null, which would turn whole numbers into broken ones in pandas
+    told = known.select(group.alias("__group"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__salt"), F.lit(False).alias("__asks"), *[F.col(c).alias(k) for c, k in zip(known.columns, keys, strict=True)], *[F.lit("0").cast(rows.schema[c].dataType).alias(c) for c in rows.columns])
+    salt = F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int")
+    sent = rows.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("__group"), salt.alias("__salt"), F.lit(True).alias("__asks"), *[F.lit("0").cast(known.schema[c].dataType).alias(k) for c, k in zip(known.columns, keys, strict=True)], *rows.columns)
+    met = told.unionByName(sent)
+    met = met.repartition(n, "__group", "__salt").sortWithinPartitions("__group", "__salt", "__asks")
+    names = rows.columns
+
+    def grouped(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, own = None, []
+        for frame in frames:
+            for key, part in frame.groupby(["__group", "__salt"], sort=True):
+                if key != at:
+                    at, own = key, []
+                asks = part["__asks"].to_numpy(bool)
+                own += list(part.loc[~asks, keys].itertuples(index=False, name=None))
+                asked = part.loc[asks, names]
+                if len(asked):
+                    yield from search(iter([asked]), own)
+
+    return met.mapInPandas(grouped, schema)
+
+
+def near_names(asked: DataFrame, names: DataFrame, shared: dict[str, tuple[Shared, int]], most_bytes: int = MOST_BYTES) -> DataFrame:
+    """kind, word, name, ratio: distinct words (kind, word) that have as many letters of a name (kind, name) as their kind's rule says, in order, and the share of their matching blocks.
+
+    shared: by kind the letters that a name and a word of given lengths share at least, and how many letters more or less a word has at most."""
+
+    def search(frames: Iterator[pd.DataFrame], own: list[tuple[str, str]]) -> Iterator[pd.DataFrame]:
+        held = {kind: Names([name for k, name in own if k == kind], *rule) for kind, rule in shared.items()}
+        for frame in frames:
+            for kind, part in frame.groupby("kind"):
+                words, index = list(part["word"]), held[kind]
+                lengths = np.array([len(n) for n in index.names], np.int64)
+                for at, found, share in index.near(words):
+                    told = [words[k] for k in at]
+                    ratio = 2.0 * share / (lengths[found] + np.array([len(t) for t in told], np.int64))
+                    yield pd.DataFrame({"kind": kind, "word": told, "name": [index.names[k] for k in found], "ratio": ratio}).astype({"kind": object, "word": object, "name": object})
+
+    return dealt(asked.where("word <> ''"), names.where("name <> ''"), search, "kind string, word string, name string, ratio double", most_bytes)
+
+
 # fixed values: how much alike audited words and known ones are at least, and from where on they surely are
 ALIKE, SURELY = 0.6, 0.75
 #: Scripts that audited words are written in: of letters, with their least and greatest number.
@@ -77,12 +132,6 @@ def audited(rows: DataFrame, known: DataFrame, language: str = "en", least: int
     return out.withColumn("band", F.when(F.col("similarity") >= SURELY, "high").when(F.col("similarity").isNotNull(), "medium").otherwise("low"))
 
 
-@F.pandas_udf(DoubleType())
-def ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Share of matching blocks; no built-in function has it."""
-    return pd.Series([SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right, strict=True)], dtype="float64")
-
-
 # fixed values: words that no half of a name's two-word hearing is
 FUNCTION_WORDS = (
     "a an and are at but by did for had has have he her his in is it met my not of on or our she that the their then they this to was were with your"
@@ -107,56 +156,19 @@ def heard_as(rows: DataFrame, ids: list[str], names: DataFrame) -> DataFrame:
     plain = lambda w: F.forall(F.split(w, " "), lambda x: (F.length(F.regexp_replace(x, "[^A-Za-z]", "")) >= 2) & ~F.lower(x).isin(FUNCTION_WORDS))
     said = rows.select(*ids, F.explode(F.array_distinct(F.concat(F.transform(one, lambda w: F.struct(F.lit(1).alias("n"), w.alias("surface"))), F.transform(F.filter(two, plain), lambda w: F.struct(F.lit(2).alias("n"), w.alias("surface")))))).alias("x"))
     said = said.select(*ids, "x.n", "x.surface", letters(F.col("x.surface")).alias("word")).where("n = 1 OR length(word) >= 4")
-    asked = said.select("word").distinct()
-    longest = F.length("word") + 2  # an edit takes two pairs of the longer word's with it
-    shared = F.array_min(F.transform(F.sequence(F.length("word"), longest), lambda m: F.when(m >= 6, m - 5).otherwise(m - 3)))
-    length = F.greatest(F.length("word"), F.length("name"))
-    close = near_pairs(asked, known, F.greatest(shared, F.lit(1))).withColumn("edits", F.levenshtein("word", "name")).where((F.col("edits") <= 3) & (length - F.least(F.length("word"), F.length("name")) <= 2)).withColumn("ratio", ratio("word", "name"))
-    met = said.select("n", "word").distinct().join(close, "word").join(known, "name")
-    fits = F.when(F.col("n") == 1, (F.col("edits") <= 2) & (F.col("ratio") >= 0.82) & (F.col("word") != F.col("name"))).otherwise((F.col("edits") <= 2) | (F.col("ratio") >= 0.72))
+    asked = said.select("n", "word").distinct()
+    most = lambda n, w: max(n, w)
+    within = {1: lambda n, w: max(most(n, w) - 2, least_shared(n, w, 0.82)), 2: lambda n, w: min(most(n, w) - 2, max(most(n, w) - 3, least_shared(n, w, 0.72)))}
+    close = near_names(asked.select(F.col("n").cast("string").alias("kind"), "word"), known.select(F.explode(F.array(F.lit("1"), F.lit("2"))).alias("kind"), "name").distinct(), {str(k): (f, 2) for k, f in within.items()})
+    close = close.select(F.col("kind").cast("int").alias("n"), "word", "name", "ratio").withColumn("edits", F.levenshtein("word", "name"))
+    met = close.join(known, "name")
+    fits = F.when(F.col("n") == 1, (F.col("edits") <= 2) & (F.col("ratio") >= 0.82) & (F.col("word") != F.col("name"))).otherwise((F.col("edits") <= 2) | ((F.col("edits") <= 3) & (F.col("ratio") >= 0.72)))
     order = Window.partitionBy("n", "word").orderBy(F.desc("ratio"), "edits", F.desc("term"))
     first = met.where(fits).withColumns({"k": F.row_number().over(order), "next": F.lead("ratio").over(order)}).where("k = 1")
     sure = first.where(F.col("next").isNull() | (F.col("ratio") - F.col("next") >= MARGIN)).select("n", "word", "term")
     return said.join(sure, ["n", "word"]).select(*ids, "surface", "term").distinct()
 
 
-Search = Callable[[Iterator[pd.DataFrame], list[tuple]], Iterator[pd.DataFrame]]
-
-
-def dealt(rows: DataFrame, known: DataFrame, search: Search, schema: str, most_bytes: int = MOST_BYTES) -> DataFrame:
-    """What `search` makes of all rows and all known: a task holds known of most_bytes; where there are more, every group of them meets all rows."""
-    size = known.agg(F.sum(sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in known.columns), F.lit(64)))).first()[0] or 0
-    if size <= most_bytes:
-        held = rows.sparkSession.sparkContext.broadcast([tuple(r) for r in known.collect()])  # most_bytes at most
-        # small tables lie in few parts
-        return rows.repartition(3 * rows.sparkSession.sparkContext.defaultParallelism).mapInPandas(lambda frames: search(frames, held.value), schema)
-    groups, n = -(-size // most_bytes), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salts = max(1, -(-n // groups))
-    group = F.pmod(F.xxhash64(*known.columns), F.lit(groups)).cast("int")
-    keys = [f"__k{i}" for i in range(len(known.columns))]
-    # what a side lacks is no null, which would turn whole numbers into broken ones in pandas
-    told = known.select(group.alias("__group"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__salt"), F.lit(False).alias("__asks"), *[F.col(c).alias(k) for c, k in zip(known.columns, keys, strict=True)], *[F.lit("0").cast(rows.schema[c].dataType).alias(c) for c in rows.columns])
-    salt = F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int")
-    sent = rows.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("__group"), salt.alias("__salt"), F.lit(True).alias("__asks"), *[F.lit("0").cast(known.schema[c].dataType).alias(k) for c, k in zip(known.columns, keys, strict=True)], *rows.columns)
-    met = told.unionByName(sent)
-    met = met.repartition(n, "__group", "__salt").sortWithinPartitions("__group", "__salt", "__asks")
-    names = rows.columns
-
-    def grouped(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, own = None, []
-        for frame in frames:
-            for key, part in frame.groupby(["__group", "__salt"], sort=True):
-                if key != at:
-                    at, own = key, []
-                asks = part["__asks"].to_numpy(bool)
-                own += list(part.loc[~asks, keys].itertuples(index=False, name=None))
-                asked = part.loc[asks, names]
-                if len(asked):
-                    yield from search(iter([asked]), own)
-
-    return met.mapInPandas(grouped, schema)
-
-
 # --- terms that nearly stand in an unsegmented text
 
 
