@@ -12,16 +12,18 @@ from __future__ import annotations
 
 import unicodedata
 from bisect import bisect_left
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import batched
 
 import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of terms and targets that one automaton takes.
+#: Bytes of terms and targets that one automaton takes, and rows that a task makes at once, however many its texts hold.
 MOST_BYTES = 8 << 20
+MOST_ROWS = 8192
 BREAK = "\x1f"
 HANGUL = ("가", "힯")  # fixed value: syllables between which no Korean term begins
 
@@ -164,6 +166,12 @@ def outside_longer(found: list[Found]) -> list[Found]:
     return out
 
 
+def frames_of(made: Iterable[tuple], names: list[str]) -> Iterator[pd.DataFrame]:
+    """Rows as they are made, in frames of MOST_ROWS at most."""
+    for some in batched(made, MOST_ROWS):
+        yield pd.DataFrame(some, columns=names)
+
+
 def ranked(terms: DataFrame) -> DataFrame:
     """(term, target) -> term, target, rank: rank ascends with falling length; of one length and term, targets sort."""
     clean = terms.where(F.trim("term") != "").select("term", F.col("target").cast("string").alias("target")).groupBy("term").agg(F.min("target").alias("target"))
@@ -185,8 +193,7 @@ def occurrences(rows: DataFrame, ids: list[str], terms: DataFrame, view: str, pi
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             own = Terms(held.value, view)
             for frame in frames:
-                made = [(*r[:-1], f.start, f.end, f.term, f.target) for r in frame.itertuples(index=False, name=None) for f in pick(own.found(r[-1]))]
-                yield pd.DataFrame(made, columns=names)
+                yield from frames_of(((*r[:-1], f.start, f.end, f.term, f.target) for r in frame.itertuples(index=False, name=None) for f in pick(own.found(r[-1]))), names)
 
         return texts.mapInPandas(run, schema)
     return _dealt(texts, ids, known, view, pick, -(-size // most_bytes), schema, id_schema)
@@ -204,7 +211,7 @@ def _dealt(texts: DataFrame, ids: list[str], known: DataFrame, view: str, pick:
 
     def with_heads(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame([(*r, h) for r in frame.itertuples(index=False, name=None) if r[-1] for h in _heads(VIEWS[view](r[-1])[0])], columns=names)
+            yield from frames_of(((*r, h) for r in frame.itertuples(index=False, name=None) if r[-1] for h in _heads(VIEWS[view](r[-1])[0])), names)
 
     def keyed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -221,18 +228,19 @@ def _dealt(texts: DataFrame, ids: list[str], known: DataFrame, view: str, pick:
     met = met.repartition(n, "group", "salt").sortWithinPartitions("group", "salt", "kind")
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, terms, own_terms = None, [], None
-        for frame in frames:
-            made = []
-            for r in frame.itertuples(index=False, name=None):
-                if r[:2] != at:
-                    at, terms, own_terms = r[:2], [], None
-                if r[2] == 0:
-                    terms.append((r[3], r[4], int(r[5])))
-                    continue
-                own_terms = own_terms or Terms(terms, view)
-                made += [(*r[6:-1], f.start, f.end, f.term, f.target, f.rank) for f in own_terms.found(r[-1])]
-            yield pd.DataFrame(made, columns=[*ids, "start", "end", "term", "target", "rank"])
+        def each() -> Iterator[tuple]:
+            at, terms, own_terms = None, [], None
+            for frame in frames:
+                for r in frame.itertuples(index=False, name=None):
+                    if r[:2] != at:
+                        at, terms, own_terms = r[:2], [], None
+                    if r[2] == 0:
+                        terms.append((r[3], r[4], int(r[5])))
+                        continue
+                    own_terms = own_terms or Terms(terms, view)
+                    yield from ((*r[6:-1], f.start, f.end, f.term, f.target, f.rank) for f in own_terms.found(r[-1]))
+
+        yield from frames_of(each(), [*ids, "start", "end", "term", "target", "rank"])
 
     every = met.mapInPandas(search, f"{id_schema}, start int, end int, term string, target string, rank int")
 
