@@ -1,5 +1,6 @@
 """Terms, names and entities against plain walks over whole tables, and stated cases."""
 
+import itertools
 import re
 import unicodedata
 
@@ -138,3 +139,14 @@ def test_names_put_right_in_a_table(spark):
         assert own <= names and (own or r.text == before[r.track, r.pos])
         there.append(sum(n in r.text for n in own) / max(1, len(own)))  # a later step may take a name into another
     assert sum(there) > 0.8 * len(there)
+
+
+def test_rows_are_made_in_bounded_frames(spark):
+    """However many occurrences texts hold, a task makes few of them at a time."""
+    assert len(next(automaton.frames_of(itertools.repeat((1, "a")), ["n", "term"]))) == automaton.MOST_ROWS
+    assert list(automaton.frames_of([], ["n"])) == []
+    n = 3 * entities.TEXTS + 1
+    rows = spark.createDataFrame([(i, "Sponsored by Ash Ash " + "ash oak " * 300) for i in range(n)], "id long, text string").coalesce(1)
+    terms = spark.createDataFrame([("ash", "a"), ("oak", "b")], "term string, target string")
+    got = entities.extract(rows, ["id"], terms).groupBy("term", "times").count().collect()
+    assert sorted(tuple(r) for r in got) == [("ash", 300, n), ("oak", 300, n)]

@@ -8,13 +8,15 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import batched
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .automaton import Found, leftmost_longest, longest_first, occurrences, outside_longer, replaced
+from .automaton import MOST_ROWS, Found, leftmost_longest, longest_first, occurrences, outside_longer, replaced
 from .similar import heard_as
 
 # fixed values: title-case runs, addresses, words that announce a sponsor
@@ -30,6 +32,8 @@ STOP_WORDS = (
 )
 GAME_WORDS = ("DPS", "HP", "BOSS")  # fixed values
 CONTEXT = 48
+#: Texts whose occurrences a task holds as Python objects at once.
+TEXTS = 64
 
 
 def searchable(text: str) -> str:
@@ -61,6 +65,21 @@ def _with_spans(rows: DataFrame, ids: list[str], spans: DataFrame) -> DataFrame:
     return rows.select(*ids, "text").join(own, ids, "left")
 
 
+def _settled(with_spans: DataFrame, ids: list[str], made: dict[str, str], settle: Callable[[str, list[dict] | None], Iterator[tuple]]) -> DataFrame:
+    """ids and the columns `made` (names and types, string or int) that `settle` makes of each text and its spans; few texts are Python objects at a time, the others stay in Arrow."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds = [*batch.schema.types[: len(ids)], *(pa.int32() if k == "int" else pa.string() for k in made.values())]
+            parts = (batch.slice(lo, TEXTS) for lo in range(0, batch.num_rows, TEXTS))
+            texts = (r for part in parts for r in zip(*(c.to_pylist() for c in part.columns), strict=True))
+            rows = ((*key, *m) for *key, text, spans in texts for m in settle(text, spans))
+            for some in batched(rows, MOST_ROWS):
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*some, strict=True), kinds, strict=True)], [*ids, *made])
+
+    return with_spans.mapInArrow(run, ", ".join([_id_schema(with_spans, ids), *(f"{c} {k}" for c, k in made.items())]))
+
+
 def _found(spans) -> list[Found]:
     return [Found(s["start"], s["end"], s["term"], s["target"], (1 << 20) - len(s["term"])) for s in (spans if spans is not None else [])]
 
@@ -75,18 +94,14 @@ def extract(rows: DataFrame, ids: list[str], terms: DataFrame, language: str = "
         return spans.groupBy(*ids, "term", "target").agg(F.count("*").alias("times"))
     spans = occurrences(rows, ids, terms, "spaced", _every, **bound)
 
-    def settle(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            made = []
-            for *key, text, own in frame.itertuples(index=False, name=None):
-                found = _found(own)
-                if found and (phrases := {text[s:e] for s, e in contextual(searchable(text))}):
-                    masked = [m.span() for p in phrases for m in re.finditer(rf"(?<![A-Za-z0-9]){re.escape(p)}(?![A-Za-z0-9])".replace(r"\ ", r"\s+"), text, re.IGNORECASE)]
-                    found = [f for f in found if not any(f.start < e and f.end > s for s, e in masked)]
-                made += [(*key, f.term, f.target) for f in longest_first(found)]
-            yield pd.DataFrame(made, columns=[*ids, "term", "target"])
-
-    kept = _with_spans(rows, ids, spans).where("spans IS NOT NULL").mapInPandas(settle, f"{_id_schema(rows, ids)}, term string, target string")
+    def settle(text: str, own: list[dict]) -> Iterator[tuple]:
+        found = _found(own)
+        if found and (phrases := {text[s:e] for s, e in contextual(searchable(text))}):
+            masked = [m.span() for p in phrases for m in re.finditer(rf"(?<![A-Za-z0-9]){re.escape(p)}(?![A-Za-z0-9])".replace(r"\ ", r"\s+"), text, re.IGNORECASE)]
+            found = [f for f in found if not any(f.start < e and f.end > s for s, e in masked)]
+        yield from ((f.term, f.target) for f in longest_first(found))
+
+    kept = _settled(_with_spans(rows, ids, spans).where("spans IS NOT NULL"), ids, {"term": "string", "target": "string"}, settle)
     return kept.groupBy(*ids, "term", "target").agg(F.count("*").alias("times"))
 
 
@@ -104,29 +119,25 @@ def candidates(rows: DataFrame, ids: list[str], terms: DataFrame, ordinary: Data
     useful = terms.select(F.trim("term").alias("term"), F.trim("target").alias("target")).where("length(term) >= 3 AND target <> ''")
     spans = occurrences(texts, ids, useful, "spaced", _every, **bound)
 
-    def settle(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            made = []
-            for *key, text, own in frame.itertuples(index=False, name=None):
-                taken, seen = contextual(text), set()
-                for s, e in taken:
-                    if text[s:e].casefold() not in seen:
-                        seen.add(text[s:e].casefold())
-                        made.append((*key, s, text[s:e], "", "", "contextual_entity"))
-                free = [f for f in _found(own) if not any(f.start < e and f.end > s for s, e in taken)]
-                for f in longest_first(free):
-                    taken.append((f.start, f.end))
-                    made.append((*key, f.start, text[f.start : f.end], f.term, f.target, "known_entity"))
-                seen = set()
-                for m in TITLE_RUN.finditer(text):
-                    words = m[0].replace("-", " ").split()
-                    if any(m.start() < e and m.end() > s for s, e in taken) or m[0].casefold() in seen or any(w in STOP_WORDS or w.upper() in GAME_WORDS for w in words):
-                        continue
-                    seen.add(m[0].casefold())
-                    made.append((*key, m.start(), m[0], "", "", "possible_entity"))
-            yield pd.DataFrame(made, columns=[*ids, "start", "surface", "term", "target", "class"])
-
-    out = _with_spans(texts, ids, spans).mapInPandas(settle, f"{_id_schema(rows, ids)}, start int, surface string, term string, target string, class string")
+    def settle(text: str, own: list[dict] | None) -> Iterator[tuple]:
+        taken, seen = contextual(text), set()
+        for s, e in taken:
+            if text[s:e].casefold() not in seen:
+                seen.add(text[s:e].casefold())
+                yield s, text[s:e], "", "", "contextual_entity"
+        free = [f for f in _found(own) if not any(f.start < e and f.end > s for s, e in taken)]
+        for f in longest_first(free):
+            taken.append((f.start, f.end))
+            yield f.start, text[f.start : f.end], f.term, f.target, "known_entity"
+        seen = set()
+        for m in TITLE_RUN.finditer(text):
+            words = m[0].replace("-", " ").split()
+            if any(m.start() < e and m.end() > s for s, e in taken) or m[0].casefold() in seen or any(w in STOP_WORDS or w.upper() in GAME_WORDS for w in words):
+                continue
+            seen.add(m[0].casefold())
+            yield m.start(), m[0], "", "", "possible_entity"
+
+    out = _settled(_with_spans(texts, ids, spans), ids, {"start": "int", "surface": "string", "term": "string", "target": "string", "class": "string"}, settle)
     plain = F.lower(F.regexp_replace("surface", "[^A-Za-z]", ""))
     unknown = out.where("class = 'possible_entity' AND NOT surface RLIKE '[ -]'").withColumn("__word", plain)
     unknown = unknown.where(~F.col("__word").isin([w.lower() for w in STOP_WORDS]))
