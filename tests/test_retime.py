@@ -6,6 +6,7 @@ from difflib import SequenceMatcher
 from math import ceil
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -213,3 +214,13 @@ def test_joined_recordings_against_a_list(spark):
         assert got[track] == sorted(map(tuple, out))
     assert joins > 20
     assert sorted(retime.without_overlaps(Q.recordings(spark, SMALL), chunk_ms=9000).collect()) == sorted(Q.joined_recordings(spark, SMALL).collect())
+
+
+def test_chunks_are_walked_one_after_another():
+    """A task goes over many chunks in plain rows, over the edges of batches; a closed cue leaves the state in which tracks begin."""
+    table = pa.table({"track": pa.array([None, None, 1, 1, 1, 2], pa.int64()), "chunk": [0, 0, 0, 0, 1, 0], "v": [1, 2, 3, None, 5, 6]})
+    got = [(key, [r.v for r in own]) for key, own in carry.groups_of(table.to_batches(2), ["track", "chunk"])]
+    assert got == [((None, 0), [1, 2]), ((1, 0), [3, None]), ((1, 1), [5]), ((2, 0), [6])]
+    words = pd.DataFrame([(1, 0, 10, "one", False), (2, 20, 30, "two.", False)], columns=["pos", "start_ms", "end_ms", "text", "last"])
+    made, state = retime.word_walk(" ")(words, "[[], 0]")
+    assert list(made) == [(1, 0, 30, "one two.")] and state == "[[], 0]"

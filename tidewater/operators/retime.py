@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .carry import carried, settled
+from .carry import Rows, carried, settled
 from .intervals import timed_tokens
 
 #: Positions of one bucket and of one chunk of a track.
@@ -138,7 +138,7 @@ def _estimate(words: int, a_second: float) -> int:
     return min(MOST_MS, max(LEAST_MS, round(words / a_second * 1000)))
 
 
-def repair(rows: pd.DataFrame, state: str) -> tuple[pd.DataFrame, str]:
+def repair(rows: Rows, state: str) -> tuple[list[tuple], str]:
     """A walk over cues with their aligned times: (pos, start_ms, end_ms, words, to_start, to_end, used, next_start, last) -> pos, start_ms, end_ms.
 
     A cue is given out once the next one's start is known; the state holds the waiting one."""
@@ -175,7 +175,7 @@ def repair(rows: pd.DataFrame, state: str) -> tuple[pd.DataFrame, str]:
         if r.last:
             give(None)
             wait = None
-    return pd.DataFrame(out, columns=["pos", "start_ms", "end_ms"]), json.dumps([wait, floor])
+    return out, json.dumps([wait, floor])
 
 
 def retimed(source: DataFrame, reference: DataFrame, least_share: float = 0.35, most_shift_ms: int = 8_000, chunk: int = CHUNK) -> DataFrame:
@@ -205,7 +205,7 @@ PAUSE_MS, SPAN_MS = 750, 6_000
 
 def word_walk(joiner: str):
     """A walk over recognised words (pos, start_ms, end_ms, text, last) that makes cues of them: split at pauses, at length, after an ending."""
-    def walk(rows: pd.DataFrame, state: str) -> tuple[pd.DataFrame, str]:
+    def walk(rows: Rows, state: str) -> tuple[list[tuple], str]:
         held, before = json.loads(state)  # words (pos, start, end, text) of the open cue; the end of the last word
         out = []
 
@@ -224,7 +224,7 @@ def word_walk(joiner: str):
             before = int(r.end_ms)
             if text.endswith(ENDINGS) or r.last:
                 flush()
-        return pd.DataFrame(out, columns=["pos", "start_ms", "end_ms", "text"]), json.dumps([held, before])
+        return out, json.dumps([held, before if held else 0])  # without an open cue the end of the last word decides nothing
 
     return walk
 
@@ -254,7 +254,7 @@ def likeness(a: str, b: str) -> float:
     return next((k for k in sizes if short[:k] in long or long[:k] in short), 0) / len(long)
 
 
-def overlap_walk(rows: pd.DataFrame, state: str) -> tuple[pd.DataFrame, str]:
+def overlap_walk(rows: Rows, state: str) -> tuple[list[tuple], str]:
     """A walk over cues in the order of their starts: one that begins over half a second before the last one's end and says much the same joins it."""
     last = json.loads(state)
     out = []
@@ -269,7 +269,7 @@ def overlap_walk(rows: pd.DataFrame, state: str) -> tuple[pd.DataFrame, str]:
         if r.last:
             out.append(tuple(last))
             last = None
-    return pd.DataFrame(out, columns=["pos", "start_ms", "end_ms", "text"]), json.dumps(last)
+    return out, json.dumps(last)
 
 
 def without_overlaps(cues: DataFrame, chunk_ms: int = 600_000) -> DataFrame:
