@@ -5,6 +5,7 @@ from difflib import SequenceMatcher
 from itertools import groupby
 from math import ceil
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -186,3 +187,12 @@ def test_shown_cues_over_whole_tables(spark):
     for track, own in groupby(got, key=lambda r: r[0]):
         own = list(own)
         assert all(a[3] < b[2] for a, b in zip(own, own[1:], strict=False)) and re.sub(r"\s", "", "".join(r[4] for r in own)) == said[track]
+
+
+def test_pieces_of_few_texts_at_a_time():
+    """The function stays in Arrow, whatever the number of texts; some are cut, some whole, none is lost at a slice's edge."""
+    texts = [f"one two three, four five six {i}. seven eight nine" for i in range(2 * display.TEXTS + 1)]
+    n = [1 + i % 4 for i in range(len(texts))]
+    got = display.piece_lists.func(pa.array(texts), pa.array(n, pa.int64()))
+    assert got.to_pylist() == [display.pieces(t, k) for t, k in zip(texts, n)]
+    assert display.piece_lists.func(pa.array([], pa.string()), pa.array([], pa.int64())).to_pylist() == []
