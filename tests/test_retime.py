@@ -224,3 +224,16 @@ def test_chunks_are_walked_one_after_another():
     words = pd.DataFrame([(1, 0, 10, "one", False), (2, 20, 30, "two.", False)], columns=["pos", "start_ms", "end_ms", "text", "last"])
     made, state = retime.word_walk(" ")(words, "[[], 0]")
     assert list(made) == [(1, 0, 30, "one two.")] and state == "[[], 0]"
+
+
+def test_sides_are_derived_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def noted(text):
+        seen.add(1)
+        return text
+
+    cues = spark.createDataFrame([("t", i, i * 1000, i * 1000 + 900, f"w{i} x{i}") for i in range(20)], CUE)
+    assert retime.retimed(cues.withColumn("text", noted("text")), cues).count() == 20
+    assert seen.value <= 40

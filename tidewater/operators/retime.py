@@ -181,10 +181,11 @@ def repair(rows: Rows, state: str) -> tuple[list[tuple], str]:
 def retimed(source: DataFrame, reference: DataFrame, least_share: float = 0.35, most_shift_ms: int = 8_000, chunk: int = CHUNK) -> DataFrame:
     """source's cues (track, pos, text) with start_ms and end_ms of the reference's speech, and used: whether a cue's own words gave its times."""
     timed = lambda df: df.select("track", F.col("pos").cast("long").alias("pos"), "text", *[F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(c) for c in ("start_ms", "end_ms")])
-    cues = timed(source)
+    # both sides are read a dozen times below: kept once, not derived anew each time
+    cues, heard = settled(timed(source)), settled(timed(reference))
     words = timed_tokens(cues).select("track", "pos", "n", "word")
     counts = words.groupBy("track", "pos").agg(F.count("*").cast("int").alias("words"))
-    spans = spoken_spans(matched_words(words, timed_tokens(timed(reference))))
+    spans = spoken_spans(matched_words(words, timed_tokens(heard)))
     n = F.coalesce("words", F.lit(0))
     needed = F.greatest(F.when(n < 4, 1).otherwise(2), F.ceil(n * F.lit(least_share)))
     fits = (F.col("found") >= needed) & (F.col("to_end") > F.col("to_start")) & (F.abs(F.col("to_start") - F.col("start_ms")) <= most_shift_ms)
