@@ -10,7 +10,7 @@ import pytest
 from compare import assert_same
 from pyspark.sql import functions as F
 
-from tidewater.llm import bpe_chunks, components, exact_dedup, language_id, minhash_dedup, mixing, queries, token_files, topk_search, toxicity, url_filter, warc
+from tidewater.llm import bpe_chunks, components, exact_dedup, language_id, minhash_dedup, mixing, queries, shared, token_files, topk_search, toxicity, url_filter, warc
 from tidewater.llm.bpe_words import default_path, encoder
 
 SMALL, MID = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -255,6 +255,17 @@ def test_topk_over_several_blocks_with_ties(spark, monkeypatch):
     assert sorted(got) == sorted(want)
 
 
+def test_few_edges_are_one_round(spark, monkeypatch):
+    """A path of 500 nodes, out of order: one task joins it; dealt over many tasks it takes more rounds and has the same labels."""
+    edges = spark.createDataFrame([((i * 37) % 500, ((i + 1) * 37) % 500) for i in range(499)], "u long, v long")
+    rounds = []
+    monkeypatch.setattr(components, "cut", lambda df: rounds.append(df.columns) or shared.cut(df))
+    got = sorted(tuple(r) for r in components.components(edges).collect())
+    assert got == [(i, 0) for i in range(1, 500)] and len(rounds) == 1
+    monkeypatch.setattr(components, "SHARE", 50)
+    assert sorted(tuple(r) for r in components.components(edges).collect()) == got and len(rounds) > 3
+
+
 def test_components(spark):
     rng = np.random.default_rng(4)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))] + [(1000, i) for i in range(500, 700)] + [(i, i + 1) for i in range(2000, 2200)] + [(3, 3), (None, 5), (5, None)]

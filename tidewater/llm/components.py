@@ -1,10 +1,11 @@
 """Connected components of an edge list by contraction.
 
-Each round deals the edges evenly over tasks, whatever their nodes. A task joins chunks of its edges by union-find over
+Each round deals the edges evenly over as many tasks as they need, whatever their nodes. A task joins chunks of its edges by union-find over
 arrays and names for each node of a chunk the smallest node that it reaches there, its root. A node that is no chunk's root
 is settled: it hangs on the smallest of its roots. The other roots of a node are connected with its smallest one, and these
 edges are the next round's. A node has at most one root a chunk, so no group grows with a node's edges; the largest node of
-any edge list is never a root, so each round has fewer nodes. Labels then go back down, from the last round to the first.
+any edge list is never a root, so each round has fewer nodes. Edges of one task have final roots. Labels then go back down,
+from the last round to the first.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from .shared import cut
 
 #: Edges that a task joins at once, which bounds its arrays (some 100 MB).
 CHUNK = 1 << 20
+#: Edges that a task is dealt, about; few edges in many tasks take more rounds, and files, than work.
+SHARE = 1 << 18
 
 
 def smallest_reached(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -63,7 +66,13 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     now, settled = edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v"), []
     for _ in range(most_rounds):
-        rooted = now.repartition("u", "v").mapInArrow(_roots, "x long, root long")
+        now = cut(now)
+        n = now.count()
+        tasks = -(-n // SHARE)
+        rooted = (now.repartition(tasks) if tasks > 1 else now.coalesce(1)).mapInArrow(_roots, "x long, root long")
+        if tasks <= 1 and n < CHUNK:
+            settled.append(rooted.where("x <> root").select(F.col("x").alias("u"), F.col("root").alias("component")))
+            break
         grouped = cut(rooted.groupBy("x").agg(F.collect_set("root").alias("roots")))
         settled.append(grouped.where(~F.array_contains("roots", F.col("x"))).select(F.col("x").alias("u"), F.array_min("roots").alias("component")))
         now = grouped.where(F.size("roots") > 1).select(F.explode("roots").alias("u"), F.array_min("roots").alias("v")).where("u <> v")

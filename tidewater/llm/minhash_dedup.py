@@ -205,12 +205,14 @@ def linked(classes: DataFrame, texts: DataFrame, percent: int, words: int) -> Da
     mixed = cut(placed.groupBy("bucket").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("bucket"))
     if mixed.isEmpty():
         return parts.select(F.col("u").alias("c"), "component")
-    # sets of bands that aren't neighbours differ too much in size
-    band = F.floor(F.log(F.col("sig.size").cast("double")) / -math.log(percent / 100) * (1 - 1e-9)) if percent < 100 else F.col("sig.size").cast("long")
-    left = cut(placed.join(mixed.hint("merge"), "bucket").join(signed.hint("merge"), "c").withColumn("band", band))
-    a = left.select("bucket", "band", *[F.col(c).alias(c + "a") for c in ("c", "part", "sig", "marks")])
-    b = left.select(F.col("bucket").alias("other"), F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)])).alias("near"), *[F.col(c).alias(c + "b") for c in ("c", "part", "sig", "marks")])
-    alike = (F.col("bucket") == F.col("other")) & (F.col("band") == F.col("near")) & (F.col("parta") < F.col("partb")) & may_be_alike("siga", "sigb", percent) & (F.shiftright("bucket", 32) == first_shared("marksa", "marksb"))
+    left = cut(placed.join(mixed.hint("merge"), "bucket").join(signed.hint("merge"), "c"))
+    # the larger set of a pair meets the smaller one: in its own band of sizes, or in the one below if its least partner lies there
+    size = F.col("sig.size")
+    of = (lambda least: F.floor((F.log(size.cast("double")) + least * (1 + 1e-9)) / (-2 * math.log(percent / 100))).cast("long")) if percent < 100 else (lambda least: size.cast("long"))
+    a = left.select("bucket", of(0.0).alias("band"), *[F.col(c).alias(c + "a") for c in ("c", "part", "sig", "marks")])
+    b = left.select(F.col("bucket").alias("other"), F.explode(F.array_distinct(F.array(of(0.0), of(math.log(percent / 100))))).alias("near"), *[F.col(c).alias(c + "b") for c in ("c", "part", "sig", "marks")])
+    larger = (F.col("siga.size") < F.col("sigb.size")) | ((F.col("siga.size") == F.col("sigb.size")) & (F.col("parta") < F.col("partb")))
+    alike = (F.col("bucket") == F.col("other")) & (F.col("band") == F.col("near")) & (F.col("parta") != F.col("partb")) & larger & may_be_alike("siga", "sigb", percent) & (F.shiftright("bucket", 32) == first_shared("marksa", "marksb"))
     across = cut(a.hint("merge").join(b, alike).select(F.col("ca").alias("u"), F.col("cb").alias("v"), "parta", "partb").distinct())
     if across.isEmpty():
         return parts.select(F.col("u").alias("c"), "component")
