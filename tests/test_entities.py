@@ -127,6 +127,15 @@ def test_names_put_right(spark):
     assert got[7][0] == "Rover Rover's Rover Rover" and got[8][0] == "saw it. Qingxiao came" and got[9] == ("Rover", ["Rover"], "high", "case-normalized")
 
 
+def test_steps_of_names_put_right_run_once(spark):
+    """What the searches found is kept: reading the result runs none of them, nor reads the texts, again."""
+    rows, terms = spark.range(3).selectExpr("id", "'Then Gin Gran came' AS text"), spark.createDataFrame([("Jingran", "a")], TERM)
+    out = entities.normalised(rows, ["id"], terms, spark.createDataFrame([("gin gran", "jingran")], TERM))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas" not in plan and "Range" not in plan
+    assert {(r.text, r.confidence) for r in out.collect()} == {("Then Jingran came", "high")}
+
+
 def test_names_put_right_in_a_table(spark):
     """What is put is a name; texts without a change are as they were."""
     names = {r.term for r in Q.names(spark, SMALL).collect()}

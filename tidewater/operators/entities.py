@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .automaton import MOST_ROWS, Found, leftmost_longest, longest_first, occurrences, outside_longer, replaced
+from .carry import settled
 from .similar import heard_as
 
 # fixed values: title-case runs, addresses, words that announce a sponsor
@@ -187,20 +188,21 @@ def normalised(rows: DataFrame, ids: list[str], terms: DataFrame, aliases: DataF
     """ids, text, canonical, confidence, reasons: texts with the glossary's names put right.
 
     In this order: known hearings, other forms, words with a name attached, names that one or two words are nearly (heard_as, where a surface of a text has one name).
-    confidence is high where anything was put, else medium where a surface has several names, else low. canonical and reasons are distinct, in the order in which they were found."""
+    confidence is high where anything was put, else medium where a surface has several names, else low. canonical and reasons are distinct, in the order in which they were found.
+    What each step finds and puts is kept, as later steps read it several times."""
     now = rows.select(*ids, F.col("text").cast("string").alias("text"))
-    first = alias_spans(now, ids, aliases, terms, **bound)
+    first = settled(alias_spans(now, ids, aliases, terms, **bound))
     noted = [first.select(*ids, F.lit(1).alias("stage"), F.lit(0).alias("rank"), F.col("start").alias("at"), F.col("target").alias("name"), F.lit("evidence-alias").alias("reason"))]
-    now = replaced(now, ids, first)
-    forms = form_spans(now, ids, terms, **bound)
+    now = settled(replaced(now, ids, first))
+    forms = settled(form_spans(now, ids, terms, **bound))
     seen = forms.join(now, ids).withColumn("surface", F.expr("substring(text, start + 1, end - start)"))
     kind = F.when(F.col("surface") == F.col("target"), "exact").when(F.lower("surface") == F.lower("target"), "case-normalized").otherwise("punctuation-normalized")
     noted.append(seen.select(*ids, F.lit(2).alias("stage"), (-F.length("target")).alias("rank"), F.col("start").alias("at"), F.col("target").alias("name"), kind.alias("reason")))
-    now = replaced(now, ids, forms)
-    swaps = attached(now, ids, terms)
+    now = settled(replaced(now, ids, forms))
+    swaps = settled(attached(now, ids, terms))
     noted.append(swaps.select(*ids, F.lit(3).alias("stage"), F.lit(0).alias("rank"), F.col("i").alias("at"), F.col("term").alias("name"), F.lit("unique-affix-stripping").alias("reason")))
-    now = _swapped(now, ids, swaps)
-    every_heard = heard_as(now, ids, terms).groupBy(*ids, F.lower("surface").alias("low")).agg(F.countDistinct("term").alias("n"), F.min("term").alias("term"))
+    now = settled(_swapped(now, ids, swaps))
+    every_heard = settled(heard_as(now, ids, terms).groupBy(*ids, F.lower("surface").alias("low")).agg(F.countDistinct("term").alias("n"), F.min("term").alias("term")))
     heard, unsure = every_heard.where("n = 1").drop("n"), every_heard.where("n > 1").select(*ids).distinct().withColumn("__unsure", F.lit(True))
     place = heard.join(now, ids).withColumn("at", F.expr("instr(lower(text), low) - 1"))
     noted.append(place.select(*ids, F.lit(4).alias("stage"), F.lit(0).alias("rank"), "at", F.col("term").alias("name"), F.lit("unique-similarity-canonicalized").alias("reason")))
