@@ -120,6 +120,16 @@ def test_score_of_a_negation_before_another_letter(spark):
     assert values(spark, F.struct(F.array_join(r, ","), R.score(r)), ("ga noítag", "x"), ("ga nota", "x")) == [("negation_missing", 6), ("", 0)]
 
 
+def test_odd_characters_are_as_in_sql(spark):
+    """Line ends, spaces of other scripts, the vertical tab, a dotted capital and long s."""
+    assert values(spark, R.is_incomplete(F.col("a"), F.col("b")), ("it is the\u2028", "因为"), ("it is the\x85", "因为"), ("it is the\u3000", "因为"), ("it is the", "因为\u3000")) == [False, False, True, True]
+    assert values(spark, R.has_credit_line(F.col("a")), "captions\x0bby", "caption\u017f by", "captions by") == [False, True, True]
+    assert values(spark, R.has_noise_command(F.col("a")), "[noi\u017fe]") == [True]
+    assert values(spark, R.missing_markers(F.col("a"), F.lit("x"))[1], "not \u0130if it", "not if it") == [False, True]
+    assert values(spark, X.visible_length(F.col("a")), "a\x0bb \t") == [3]
+    assert values(spark, F.array_join(glossary.term_tokens(F.col("a")), " "), "\u0130he was\x0bhere") == ["ihe was | here"]
+
+
 def test_risk_rules(spark):
     assert values(spark, R.has_english_residue(F.col("a")), "这是 Violet 的", "BOSS 来了", "plain words", "say the word", "说abc的") == [True, False, False, True, False]
     assert values(spark, R.has_noise_command(F.col("a")), "[inaudible 00:12]", "(Laughter)", "ignore the noise", "noise") == [True, True, True, False]

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import FRAGMENT_END, HANGUL, bounded, characters_per_minute, has_repeated_clause, strip_marks, visible_length
+from .text import FRAGMENT_END, HANGUL, bounded, characters_per_minute, has_repeated_clause, lowered, strip_marks, trimmed, visible_length
 
 # fixed values: words and patterns of the rules
 RESIDUE_WORDS = (
@@ -90,13 +90,13 @@ def is_incomplete(source: Column, target: Column, language: str = "en") -> Colum
     said = strip_marks(source)
     if language == "ja":
         return said.rlike(SOURCE_FRAGMENT_JA) & F.trim(target).rlike(TARGET_FRAGMENT_JA)
-    return said.rlike(bounded(FRAGMENT_END)) & F.regexp_replace(F.trim(target), "[，,、；;：:]+$", "").rlike(TARGET_FRAGMENT)
+    return said.rlike(bounded(FRAGMENT_END)) & F.regexp_replace(trimmed(target), r"[，,、；;：:]+\z", "").rlike(bounded(TARGET_FRAGMENT))
 
 
 def suspects_forgotten_name(source: Column) -> Column:
     """A name after a speaker mark where the speaker says that they forgot one."""
-    after = F.trim(F.regexp_extract(source, r"(?s)^.*?>>(.*)$", 1))
-    return source.contains(">>") & F.lower(source).rlike(bounded(FORGOT)) & after.rlike(bounded(FORGOTTEN_NAME))
+    after = trimmed(F.regexp_extract(source, r"(?s)^.*?>>(.*)$", 1))
+    return source.contains(">>") & lowered(source).rlike(bounded(FORGOT)) & after.rlike(bounded(FORGOTTEN_NAME))
 
 
 def missing_markers(source: Column, target: Column, language: str = "en") -> tuple[Column, Column]:
@@ -105,7 +105,7 @@ def missing_markers(source: Column, target: Column, language: str = "en") -> tup
     has = lambda words: reduce(lambda a, b: a | b, [target.contains(w) for w in words.split()])
     if language != "en":
         return source.rlike(negation) & ~has(no), source.rlike(condition) & ~has(if_)
-    low = F.lower(source)
+    low = lowered(source)
     denies = F.regexp_replace(low, bounded(NOT_NEGATION), "").rlike(bounded(negation))
     depends = F.regexp_replace(low, bounded(NOT_CONDITION), "").rlike(bounded(condition))
     return denies & ~has(no), depends & ~has(if_) & ~target.rlike(ASKS_EITHER)
@@ -126,7 +126,7 @@ def reasons(source: Column, target: Column, duration_ms: Column, floor: Column,
     negation, condition = missing_markers(source, target, language)
     said, got = number_set(source), number_set(target)
     fired = {
-        "text_conflict": conflict, "empty_translation": F.trim(target) == "", "credit_line": has_credit_line(source), "noise_command": has_noise_command(source),
+        "text_conflict": conflict, "empty_translation": trimmed(target) == "", "credit_line": has_credit_line(source), "noise_command": has_noise_command(source),
         "repeated_clause": has_repeated_clause(source), "number_mismatch": (F.size(said) > 0) & (F.size(got) > 0) & (said != got),
         "english_residue": has_english_residue(target) if language == "en" else F.lit(False), "kana_residue": has_kana_residue(target) if language == "ja" else F.lit(False),
         "hangul_residue": has_hangul_residue(target) if language == "ko" else F.lit(False), "person_name_present": names_person, "term_mismatch": terms_missed,

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import WHITE, lowered
+
 
 def term_tokens(text: Column) -> Column:
     """Lower-case runs of Latin letters and digits; any other character but white space is a token `|`, which keeps its neighbours apart."""
-    spaced = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9\s]+", " | ")
-    return F.filter(F.split(spaced, r"\s+"), lambda w: w != "")
+    spaced = F.regexp_replace(lowered(F.coalesce(text, F.lit(""))), f"[^a-z0-9{WHITE}]+", " | ")
+    return F.filter(F.split(spaced, f"[{WHITE}]+"), lambda w: w != "")
 
 
 def keyed(terms: DataFrame) -> DataFrame:
