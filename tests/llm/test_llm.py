@@ -6,11 +6,12 @@ from functools import partial
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pytest
 from compare import assert_same
 from pyspark.sql import functions as F
 
-from tidewater.llm import bpe_chunks, components, exact_dedup, language_id, minhash_dedup, mixing, queries, shared, token_files, topk_search, toxicity, url_filter, warc
+from tidewater.llm import bpe_chunks, bpe_words, components, exact_dedup, language_id, minhash_dedup, mixing, queries, shared, token_files, topk_search, toxicity, url_filter, warc
 from tidewater.llm.bpe_words import default_path, encoder
 
 SMALL, MID = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -290,6 +291,43 @@ def test_components(spark):
     assert components.components(df.limit(0)).count() == 0
 
 
+def test_bpe_remembers_what_comes_again(monkeypatch):
+    """Words that come once take no memory of a worker, those that come again take no more than the bounds; ids are the library's."""
+    enc, rng = bpe_words.Encoder(default_path()), np.random.default_rng(3)
+    word = lambda: "".join(chr(97 + x) for x in rng.integers(0, 26, 9))
+    common = [word() for _ in range(100)]
+    texts = [" ".join([*common, *(word() for _ in range(900)), "Été <|endoftext|>x 's"]) for _ in range(12)]
+
+    def check(some):
+        ids, ends = enc.encode(pa.array(some, pa.large_string()))
+        assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == enc.exactly(some)
+
+    for t in texts:
+        check([t])
+    assert set(common) <= set(enc.units) and len(enc.units) < 250  # some of the 10,800 may share a mark
+    monkeypatch.setattr(bpe_words, "MOST_UNITS", 1000)
+    for t in (*texts, *texts):
+        check([t, t[:500]])
+    assert len(enc.units) == 1000
+    monkeypatch.setattr(bpe_words, "MOST_UNITS", 5000)
+    monkeypatch.setattr(bpe_words, "MOST_BYTES", enc.bytes)
+    check(texts)
+    assert len(enc.units) == 1000
+
+
+def test_toxicity_filter_takes_few_texts_at_a_time(spark):
+    class Model:
+        def score(self, texts):
+            assert sum(map(len, texts)) <= shared_bytes
+            return np.array([float(t[0] == "x") for t in texts])
+
+    shared_bytes = shared.SLICE_BYTES
+    docs = spark.range(0, 40, 1, 1).select(F.col("id").alias("doc_id"), F.concat(F.when(F.col("id") % 4 == 0, "x").otherwise("y"), F.repeat(F.lit("abcde "), 50_000)).alias("text"))
+    kept = toxicity.accepted(docs, Model())
+    assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == [i for i in range(40) if i % 4]
+    assert kept.where("length(text) = 300001").count() == 30
+
+
 def test_bpe_with_another_tokenizer(spark):
     path = default_path().replace("word_bpe_49k", "byte_bpe_50k")
     enc, rng = encoder(path), np.random.default_rng(2)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import mix64, table
+from .shared import mix64, slices, table
 
 BITS = 18
 SIZES = (3, 4, 5)
@@ -199,12 +199,13 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def accepted(docs: DataFrame, model: Model, text_col: str = "text", most: float = 0.7) -> DataFrame:
-    """The rows that score below `most`, with all their columns."""
+    """The rows that score below `most`, with all their columns; a task turns few texts into strings at a time."""
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-            yield batch.filter(pa.array(model.score(texts) < most))
+            for part in slices(batch, text_col):
+                texts = part.column(part.schema.get_field_index(text_col)).to_pylist()
+                yield part.filter(pa.array(model.score(texts) < most))
 
     return docs.mapInArrow(run, schema)
