@@ -7,7 +7,7 @@ from difflib import SequenceMatcher
 import numpy as np
 from pyspark.sql import functions as F
 
-from tidewater.operators import neighbours, similar
+from tidewater.operators import neighbours, similar, stretches
 from tidewater.plans import entity_queries as Q
 
 SMALL = "/root/testdata/sf0.001"
@@ -112,6 +112,52 @@ def test_near_terms_by_groups_and_without_pairs_of_texts(spark):
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect())) and {(1, "x"), (2, "z"), (5, "y")} <= {(r.id, r.target) for r in one.collect()}
 
 
+def nearest(texts, names, least):
+    """Each text's stretch that is most like a name, window by window."""
+    out = set()
+    for k, text in enumerate(texts):
+        for name in names:
+            ways = [(-SequenceMatcher(None, text[i : i + w], name).ratio(), w, i) for w in range(max(2, len(name) - 1), len(name) + 2) for i in range(len(text) - w + 1)]
+            if name not in text and ways and -min(ways)[0] >= least:
+                ratio, w, i = min(ways)
+                out.add((k, name, text[i : i + w], -ratio))
+    return out
+
+
+def found_by(index, texts):
+    return {(int(t), index.names[k], s, float(r)) for which, name, surface, ratio in index.best(texts) for t, k, s, r in zip(which, name, surface.to_pylist(), ratio, strict=True)}
+
+
+def test_stretches_against_every_window(monkeypatch):
+    """Names that letters are left out of, those that go through texts bit by bit and those of more than 64 letters, in one part or many, with tables that overflow."""
+    rng = random.Random(3)
+    made = lambda n, of: "".join(rng.choice(of) for _ in range(n))
+    names = sorted({made(n, "アイウé𠮷") for n in (1, 2, 3, 3, 4, 5, 6, 7, 8, 8, 9, 10, 10, 11, 12, 13, 14, 17, 24, 64, 66)})
+    slip = lambda t: "".join(rng.choice(["", "x", c + "ア"]) if rng.random() < 0.1 else c for c in t)
+    texts = ["".join(slip(rng.choice(names)) + made(rng.randint(0, 3), "アイx") for _ in range(rng.randint(0, 6))) for _ in range(40)]
+    texts += ["", "ア", names[0], made(700, "アイウé𠮷x"), texts[3], texts[3]]
+    want = nearest(texts, names, 0.78)
+    assert {len(n) for _, n, _, _ in want} >= {3, 6, 8, 10, 11, 12, 14, 17}
+    assert found_by(stretches.Stretches(names, 0.78), texts) == want
+    for small in ({"RUN": 50, "STEP": 7}, {"KEPT": 16, "LANES": (8, 8)}, {"NEAR": 20, "PLACES": 1}, {"WAYS": 1}):
+        with monkeypatch.context() as m:
+            for name, value in small.items():
+                m.setattr(stretches, name, value)
+            assert found_by(stretches.Stretches(names, 0.78), texts) == want
+    assert found_by(stretches.Stretches([], 0.78), texts) == found_by(stretches.Stretches(names, 0.78), []) == set()
+    assert found_by(stretches.Stretches(names[:3], 0.5), texts[:9]) == nearest(texts[:9], names[:3], 0.5)
+
+
+def test_stretches_that_come_again_are_not_measured_again(monkeypatch):
+    counted, measure = [], stretches.matched
+    monkeypatch.setattr(stretches, "matched", lambda a, b: (counted.append(len(a)), measure(a, b))[1])
+    index = stretches.Stretches(["アイウエオ", "カキクケコサ"], 0.78)
+    texts = ["アイウオとカキケコサ", "アアイウオ", "イウエオキクケコサ"] * 20
+    first = found_by(index, texts)
+    once = sum(counted)
+    assert found_by(index, texts) == first and len(first) > 60 and sum(counted) == once < 40
+
+
 def test_blocks_as_the_matcher_counts_them():
     rng = random.Random(5)
     for w, n in ((3, 4), (8, 7), (12, 12), (101, 3)):

@@ -1,8 +1,8 @@
 """Strings that share most letters, in order, with one of many names; what a task does with its part of the texts.
 
 Two strings of w and n letters with m letters in common, in order, are one string when the right w - m letters of the one and
-n - m of the other are left out. The names' shorter forms are hashed once a task; the forms of many strings, or of every
-stretch of many texts, are hashed by array and looked up. Where there are too many ways to leave letters out, strings are
+n - m of the other are left out. The names' shorter forms are hashed once a task; the forms of many strings are hashed by
+array and looked up. Where there are too many ways to leave letters out, strings are
 taken by their number of a name's pairs of letters. Both let through more than is alike, never less; matched() then counts
 exactly. Letters are any characters.
 """
@@ -44,21 +44,31 @@ def codes(text: str) -> np.ndarray:
     return c * np.uint64(0x94D049BB133111EB)
 
 
-def forms(columns: Columns, drop: int) -> Iterator[np.ndarray]:
-    """Hashes of the strings whose letters the columns hold, with `drop` letters left out, in every way."""
+def forms(columns: Columns, drop: int, inner: bool = False) -> Iterator[np.ndarray]:
+    """Hashes of the strings whose letters the columns hold, with `drop` letters left out, in every way, or every way that keeps the first and the last."""
     w, sums = len(columns), []
     for s in range(drop + 1):
         total = [np.zeros(len(columns[0]), np.uint64)]
         for k, c in enumerate(columns):
             total.append(total[-1] + c * POWERS[max(0, k - s) % 512])
         sums.append(total)
-    for out in combinations(range(w), drop):
-        h = sums[0][out[0] if drop else w]
-        for s, i in enumerate(out, 1):
-            end = out[s] if s < drop else w
-            if end > i + 1:
-                h = h + (sums[s][end] - sums[s][i + 1])
-        yield h
+    if not drop:
+        yield sums[0][w]
+        return
+    # what leaving out a letter as the first, second and so on changes; the last has the rest
+    left = [[sums[s][i] - sums[s + 1][i + 1] for i in range(w)] for s in range(drop)]
+    for i in range(w):
+        left[-1][i] += sums[drop][w]
+    at, made = (), []
+    for out in combinations(range(1, w - 1) if inner else range(w), drop):
+        same = 0
+        while same < len(at) and at[same] == out[same]:
+            same += 1
+        made = made[:same]
+        for s in range(same, drop - 1):
+            made.append(made[-1] + left[s][out[s]] if made else left[s][out[s]])
+        at = out[: drop - 1]
+        yield made[-1] + left[-1][out[-1]] if made else left[-1][out[-1]]
 
 
 def matched(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -68,20 +78,23 @@ def matched(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     if max(w, n) > 100:
         text = lambda row: [int(x) for x in row]
         return np.array([sum(m.size for m in SequenceMatcher(None, text(x), text(y)).get_matching_blocks()) for x, y in zip(a, b, strict=True)], np.int64)
-    places = np.arange(w * n, dtype=np.int32).reshape(w, n, 1)
+    # size and place in one number: of the longest the first of a, then of b
+    small = w * n <= 256
+    one, kind = (8, np.uint16) if small else (16, np.int32)
+    last = (1 << one) - 1
+    places = (last - np.arange(w * n)).astype(kind).reshape(w, n, 1)
     for at in range(0, len(a), 2048):
         # the pairs lie along the last axis
         first, second = np.ascontiguousarray(a[at : at + 2048].T), np.ascontiguousarray(b[at : at + 2048].T)
-        same = (first[:, None] == second[None]).astype(np.int8)
+        same = (first[:, None] == second[None]).view(np.int8)
         k = same.shape[2]
         who, box, here = np.arange(k), np.tile(np.array([[0], [w], [0], [n]]), (1, k)), same.copy()
         rows, cols = np.arange(w)[:, None], np.arange(n)[:, None]
         while len(who):
             for i in range(1, w):
                 here[i, 1:] *= here[i - 1, :-1] + np.int8(1)
-            # of the longest the first of a, then of b
-            best = (here * np.int32(1 << 16) + (0xFFFF - places)).reshape(w * n, -1).max(0).astype(np.int64)
-            size, place = best >> 16, 0xFFFF - (best & 0xFFFF)
+            best = (here.astype(kind) << kind(one) | places).reshape(w * n, -1).max(0).astype(np.int64)
+            size, place = best >> one, last - (best & last)
             np.add.at(total, at + who, size)
             i, j = place // n + 1, place % n + 1
             who = np.concatenate([who, who])
@@ -220,39 +233,6 @@ class Names:
                 places, found = distinct_pairs(places, found, len(self.names))
                 yield part[places], found, self.share(rows[places], found)
 
-    def stretches(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]]:
-        """texts (by place), names, starts, letters in matching blocks, and width of stretches of texts."""
-        ends = np.cumsum([len(t) for t in texts])
-        if not len(texts) or not ends[-1]:
-            return
-        n, most = int(ends[-1]), max(self.widths, default=1)
-        letters = np.append(codes("".join(texts)), np.zeros(most, np.uint64))
-        text_of = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-        starts = ends - [len(t) for t in texts]
-        numbers = self._numbers(pair_codes(letters)) if len(self.known_pairs) else None
-        for w in self.widths:
-            places, found = [], []
-            for lo in range(0, n, STEP):
-                at, who = self.candidates([letters[lo + k : min(n, lo + STEP) + k] for k in range(w)])
-                places.append(at + lo)
-                found.append(who)
-            for k, floor in self.counted.get(w, []):
-                upto = np.append(0, np.cumsum(self._flags(k)[numbers]))
-                at = np.flatnonzero(upto[w - 1 : w - 1 + n] - upto[:n] >= floor)
-                places.append(at)
-                found.append(np.full(len(at), k))
-            at, who = np.concatenate(places), np.concatenate(found)
-            within = at + w <= ends[text_of[at]]
-            at, who = distinct_pairs(at[within], who[within], len(self.names))
-            rows = letters[at[:, None] + np.arange(w)]
-            # a stretch that comes again is counted once
-            key = next(forms(list(rows.T), 0)) * POWERS[1] + who.astype(np.uint64) if len(at) else np.zeros(0, np.uint64)
-            _, first, back = np.unique(key, return_index=True, return_inverse=True)
-            share = self.share(rows[first], who[first])[back]
-            odd = np.flatnonzero((who != who[first[back]]) | (rows != rows[first[back]]).any(1))  # of one hash by chance
-            share[odd] = self.share(rows[odd], who[odd])
-            yield text_of[at], who, at - starts[text_of[at]], share, w
-
 
 def pair_codes(letters: np.ndarray) -> np.ndarray:
     return letters[:-1] * POWERS[1] + letters[1:]

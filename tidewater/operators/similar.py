@@ -16,10 +16,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .neighbours import Names, Shared, least_shared
+from .stretches import Stretches, spans
 
 #: Bytes of names that one task takes.
 MOST_BYTES = 8 << 20
@@ -200,45 +202,20 @@ def nearly_in(rows: DataFrame, ids: list[str], terms: DataFrame, least: float =
         by_name: dict[str, list[tuple[str, str]]] = {}
         for name, target, term in own:
             by_name.setdefault(name, []).append((term, target))
-        index = Names(list(by_name), lambda n, w: least_shared(n, w, least) if w > 1 else None, 1)
+        index = Stretches(list(by_name), least)
+        told = [t for n in by_name.values() for t in n]
+        terms, targets = (pa.array([t[i] for t in told], pa.string()) for i in (0, 1))
+        many = np.array([len(n) for n in by_name.values()], np.int64)
+        first = np.cumsum(many) - many
         for frame in frames:
-            for lo, hi in parts_of(frame["body"].str.len().to_numpy()):
-                part = frame.iloc[lo:hi]
-                best = _best(index, list(part["body"]), least)
-                which, names = best["text"].to_numpy(), [by_name[index.names[k]] for k in best["name"]]
-                many = np.array([len(n) for n in names], np.int64)
-                out = part[ids].iloc[np.repeat(which, many)]
-                told = [t for n in names for t in n]
-                made = out.assign(term=[t for t, _ in told], target=[g for _, g in told], surface=np.repeat(best["surface"].to_numpy(object), many), confidence=np.repeat(best["ratio"].to_numpy(), many))
-                yield made[at].astype({"term": object, "target": object, "surface": object})  # which Arrow takes in one piece
+            for which, name, surface, ratio in index.best(list(frame["body"])):
+                often = many[name]
+                k = spans(first[name], often)
+                made = frame[ids].take(np.repeat(which, often)).reset_index(drop=True)
+                again = surface.take(pa.array(np.repeat(np.arange(len(name)), often))) if len(k) > len(name) else surface
+                strings = {"term": terms.take(pa.array(k)), "target": targets.take(pa.array(k)), "surface": again}
+                # strings stay Arrow's on their way to Spark
+                yield made.assign(**{c: pd.Series(pd.arrays.ArrowExtensionArray(v)) for c, v in strings.items()}, confidence=np.repeat(ratio, often))[at]
 
     found = dealt(texts, known.select("name", "target", "term"), search, schema, most_bytes)
     return found.withColumn("confidence", F.round("confidence", 3))
-
-
-def parts_of(lengths: np.ndarray, letters: int = 1 << 15) -> Iterator[tuple[int, int]]:
-    """Runs of rows with `letters` letters together, or one row."""
-    lo, held = 0, 0
-    for k, n in enumerate(lengths):
-        if held and held + n > letters:
-            yield lo, k
-            lo, held = k, 0
-        held += n
-    if lo < len(lengths):
-        yield lo, len(lengths)
-
-
-def _best(index: Names, texts: list[str], least: float) -> pd.DataFrame:
-    """text, name, surface, ratio: the stretch of a text, one letter more or less than the name, that is most like it; of several the shortest, then the first; of no name that stands in the text."""
-    own = np.array([len(n) for n in index.names], np.int64)
-    kept = []
-    for text, name, start, share, width in index.stretches(texts):
-        ratio = 2.0 * share / (own[name] + width)
-        fits = ratio >= least
-        kept.append(pd.DataFrame({"text": text[fits], "name": name[fits], "start": start[fits], "width": width, "ratio": ratio[fits]}))
-    every = pd.concat([pd.DataFrame({"text": [], "name": [], "start": [], "width": [], "ratio": []}).astype({"text": "int64", "name": "int64", "start": "int64", "width": "int64"}), *kept])
-    order = np.lexsort((every["start"], every["width"], -every["ratio"], every["name"], every["text"]))
-    every = every.iloc[order]
-    every = every[~every.duplicated(["text", "name"]).to_numpy()]
-    every = every[(every["ratio"] < 1.0).to_numpy()]  # only the name itself is wholly alike
-    return every.assign(surface=[texts[t][s : s + w] for t, s, w in zip(every["text"], every["start"], every["width"], strict=True)])
