@@ -125,7 +125,7 @@ def nearest(texts, names, least):
 
 
 def found_by(index, texts):
-    return {(int(t), index.names[k], s, float(r)) for which, name, surface, ratio in index.best(texts) for t, k, s, r in zip(which, name, surface.to_pylist(), ratio, strict=True)}
+    return {(int(t), index.names[k], s, 2.0 * m / n) for which, name, surface, share, both in index.best(texts) for t, k, s, m, n in zip(which, name, surface.to_pylist(), share, both, strict=True)}
 
 
 def test_stretches_against_every_window(monkeypatch):
@@ -139,7 +139,7 @@ def test_stretches_against_every_window(monkeypatch):
     want = nearest(texts, names, 0.78)
     assert {len(n) for _, n, _, _ in want} >= {3, 6, 8, 10, 11, 12, 14, 17}
     assert found_by(stretches.Stretches(names, 0.78), texts) == want
-    for small in ({"RUN": 50, "STEP": 7}, {"KEPT": 16, "LANES": (8, 8)}, {"NEAR": 20, "PLACES": 1}, {"WAYS": 1}):
+    for small in ({"RUN": 50, "STEP": 7}, {"KEPT": 16, "LANES": 8}, {"NEAR": 20, "PLACES": 1}, {"WAYS": 1}):
         with monkeypatch.context() as m:
             for name, value in small.items():
                 m.setattr(stretches, name, value)

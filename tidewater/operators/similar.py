@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Callable, Iterator
+from itertools import chain, groupby
 
 import numpy as np
 import pandas as pd
@@ -72,16 +73,21 @@ def dealt(rows: DataFrame, known: DataFrame, search: Search, schema: str, most_b
     names = rows.columns
 
     def grouped(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, own = None, []
-        for frame in frames:
-            for key, part in frame.groupby(["__group", "__salt"], sort=True):
-                if key != at:
-                    at, own = key, []
-                asks = part["__asks"].to_numpy(bool)
-                own += list(part.loc[~asks, keys].itertuples(index=False, name=None))
-                asked = part.loc[asks, names]
-                if len(asked):
-                    yield from search(iter([asked]), own)
+        parts = (kp for frame in frames for kp in frame.groupby(["__group", "__salt"], sort=True))
+        for _, own_parts in groupby(parts, key=lambda kp: kp[0]):
+            own: list[tuple] = []
+
+            def asked(own_parts=own_parts, own=own) -> Iterator[pd.DataFrame]:
+                for _, part in own_parts:
+                    asks = part["__asks"].to_numpy(bool)
+                    own += list(part.loc[~asks, keys].itertuples(index=False, name=None))
+                    if asks.any():
+                        yield part.loc[asks, names]
+
+            each = asked()
+            # a group's known come before its rows, so that one search takes all of these
+            for first in each:
+                yield from search(chain([first], each), own)
 
     return met.mapInPandas(grouped, schema)
 
@@ -208,14 +214,14 @@ def nearly_in(rows: DataFrame, ids: list[str], terms: DataFrame, least: float =
         many = np.array([len(n) for n in by_name.values()], np.int64)
         first = np.cumsum(many) - many
         for frame in frames:
-            for which, name, surface, ratio in index.best(list(frame["body"])):
+            for which, name, surface, share, both in index.best(list(frame["body"])):
                 often = many[name]
                 k = spans(first[name], often)
                 made = frame[ids].take(np.repeat(which, often)).reset_index(drop=True)
                 again = surface.take(pa.array(np.repeat(np.arange(len(name)), often))) if len(k) > len(name) else surface
                 strings = {"term": terms.take(pa.array(k)), "target": targets.take(pa.array(k)), "surface": again}
+                confidence = (4000 * share + both) // (2 * both) / 1000  # the ratio 2 share / both to three places, halves up
                 # strings stay Arrow's on their way to Spark
-                yield made.assign(**{c: pd.Series(pd.arrays.ArrowExtensionArray(v)) for c, v in strings.items()}, confidence=np.repeat(ratio, often))[at]
+                yield made.assign(**{c: pd.Series(pd.arrays.ArrowExtensionArray(v)) for c, v in strings.items()}, confidence=np.repeat(confidence, often))[at]
 
-    found = dealt(texts, known.select("name", "target", "term"), search, schema, most_bytes)
-    return found.withColumn("confidence", F.round("confidence", 3))
+    return dealt(texts, known.select("name", "target", "term"), search, schema, most_bytes)
