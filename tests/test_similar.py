@@ -145,7 +145,9 @@ def test_stretches_against_every_window(monkeypatch):
                 m.setattr(stretches, name, value)
             assert found_by(stretches.Stretches(names, 0.78), texts) == want
     assert found_by(stretches.Stretches([], 0.78), texts) == found_by(stretches.Stretches(names, 0.78), []) == set()
-    assert found_by(stretches.Stretches(names[:3], 0.5), texts[:9]) == nearest(texts[:9], names[:3], 0.5)
+    for least in (0.2, 0.5):
+        some = [n for n in names if len(n) > 1][:6]
+        assert found_by(stretches.Stretches(some, least), texts[:9]) == nearest(texts[:9], some, least)
 
 
 def test_stretches_that_come_again_are_not_measured_again(monkeypatch):
